@@ -100,3 +100,24 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
     for i in range(k):
         out = mix64(out + words[i : len(words) - k + 1 + i])
     return out
+
+
+def with_text_columns(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]], fields: str, text: str = "text", keep: Iterable[str] | None = None) -> DataFrame:
+    """The kept columns of ``docs`` (all by default) and new ones computed from whole texts, in one pass without a shuffle.
+
+    ``make`` runs once per task and gives a function from texts (null as empty) to a list of arrays, one for each of ``fields``. Kept
+    columns whose names clash with new ones are replaced.
+    """
+    new = [f.split()[0].lower() for f in fields.split(", ")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), fields])
+    names = [*kept, *(f.split()[0] for f in fields.split(", "))]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch, texts in doc_groups(batches, "_text_in"):
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in compute(texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *arrays], names=names)
+
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text_in")).mapInArrow(work, schema)
