@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,12 @@ from quillon.llm.common import WordHashes, doc_groups, mix64, shingle_hashes, wr
 from quillon.llm.components import components, id_filter, may_hold
 
 #: A shingle is frequent from so many counted occurrences on; the list of frequent ones is bounded (8 bytes each), which costs speed only.
-FREQUENT, MOST_FREQUENT = 24, 1 << 20
+FREQUENT, MOST_FREQUENT = 3, 1 << 20
 CHUNK = 4_000_000
-HUB_ROUNDS = 4
+#: Buckets up to this size are paired in full at once; larger ones are first compared with so many hubs.
+SMALL, HUB_ROUNDS = 4, 3
+#: Bits of the map of index keys that occur more than once. Its size is fixed; where it fills up, more keys are shuffled and none is lost.
+INDEX_BITS = 1 << 27
 
 
 def shingle_set(text: str, words: WordHashes, n: int = 5) -> np.ndarray:
@@ -44,6 +48,24 @@ def key_of(mark: bytes) -> int:
     return int.from_bytes(mark[:8], "little", signed=True)
 
 
+def bitmap_of(tokens: np.ndarray) -> bytes:
+    """A bit for each token by its lowest bits: at least 1.2 bits a token, a power of two, 64 to 8192."""
+    width = min(8192, max(64, 1 << (int(1.2 * len(tokens)) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def least_missing(x: bytes, y: bytes) -> tuple[int, int]:
+    """At least so many tokens of x are not in y, and the other way round: bits of one that the other lacks, at the narrower width."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
+
+
 def bands(most: int = 1 << 40) -> list[int]:
     """Lower ends of size bands: a partner of at most 4/3 the size is in the same band or the next."""
     out = [1]
@@ -94,19 +116,20 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size, seen = WordHashes(), [], 0, set()
-        names = ["doc_id", "n", "mark", "k"]
+        names = ["doc_id", "n", "mark", "k", "bits"]
 
         def counted() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             twice = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[twice].view(np.int64)), pa.array(counts[twice], pa.int64()), pa.nulls(int(twice.sum()), pa.binary()), pa.nulls(int(twice.sum()), pa.int64())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[twice].view(np.int64)), pa.array(counts[twice], pa.int64()), pa.nulls(int(twice.sum()), pa.binary()), pa.nulls(int(twice.sum()), pa.int64()), pa.nulls(int(twice.sum()), pa.binary())], names=names)
 
         for batch, texts in doc_groups(batches):
-            sizes, marks, keys = [], [], []
+            sizes, marks, keys, bits = [], [], [], []
             for x in texts:
                 s = shingle_set(x, words, n)
                 marks.append(fingerprint(s))
                 keys.append(key_of(marks[-1]))
+                bits.append(bitmap_of(s))
                 sizes.append(len(s))
                 if marks[-1] not in seen:  # equal sets count once
                     seen.add(marks[-1])
@@ -116,14 +139,14 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
                     yield counted()
                     held, size = [], 0
                     seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], names=names)
         yield counted()
 
-    return docs.mapInArrow(work, "doc_id long, n long, mark binary, k long")
+    return docs.mapInArrow(work, "doc_id long, n long, mark binary, k long, bits binary")
 
 
-def _index(docs: DataFrame, n: int, frequent: np.ndarray, percent: int) -> DataFrame:
-    """(sig, k) of every document; equal sets are indexed once a task."""
+def _index(docs: DataFrame, n: int, frequent: np.ndarray, percent: int, held: Broadcast | None = None) -> DataFrame:
+    """Without ``held`` the hashed places (place) of all index keys in its map; with it the (sig, k) whose place is marked there. Equal sets are indexed once a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
@@ -134,14 +157,32 @@ def _index(docs: DataFrame, n: int, frequent: np.ndarray, percent: int) -> DataF
                 k = key_of(fingerprint(s))
                 if len(s) and k not in seen:
                     seen.add(k)
-                    sigs.append(signatures(s, frequent, percent))
-                    keys.append(np.full(len(sigs[-1]), k, np.int64))
+                    own = signatures(s, frequent, percent)
+                    if held is not None:
+                        own = own[marked(held.value, own)]
+                    sigs.append(own)
+                    keys.append(np.full(len(own), k, np.int64))
             if len(seen) > 1_000_000:
                 seen.clear()
-            if sigs:
+            if sigs and held is None:
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sigs) % np.uint64(INDEX_BITS)).astype(np.int32))], names=["place"])
+            elif sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "k"])
 
-    return docs.mapInArrow(work, "sig long, k long")
+    return docs.mapInArrow(work, "place int" if held is None else "sig long, k long")
+
+
+def marked(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = x % np.uint64(64 * len(bitmap))
+    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bit_map(places: DataFrame, bits: int) -> np.ndarray:
+    """A map with the bits of the column place set; at most bits / 64 rows reach the driver."""
+    words = places.select(F.expr("place div 64").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
 
 
 def _sets(docs: DataFrame, n: int, bitmap: np.ndarray) -> DataFrame:
@@ -154,7 +195,7 @@ def _sets(docs: DataFrame, n: int, bitmap: np.ndarray) -> DataFrame:
             for x in texts:
                 s = shingle_set(x, words, n)
                 k = key_of(fingerprint(s))
-                if len(s) and k not in seen and int(bitmap[k % bits >> 6]) >> (k & 63) & 1:
+                if len(s) and k not in seen and int(bitmap[k % bits >> 6]) >> (k % bits & 63) & 1:
                     seen.add(k)
                     keys.append(k)
                     sets.append(s.view(np.int64))
@@ -164,24 +205,26 @@ def _sets(docs: DataFrame, n: int, bitmap: np.ndarray) -> DataFrame:
     return docs.mapInArrow(work, "k long, tokens array<long>")
 
 
-def _key_bitmap(nodes: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    h = F.pmod("k", F.lit(bits))
-    rows = nodes.select((h / 64).cast("long").alias("word"), (h % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("set")).collect()
-    out = np.zeros(bits // 64, np.uint64)
-    for r in rows:
-        out[r["word"]] = r["set"] & 0xFFFFFFFFFFFFFFFF
-    return out
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
+    left, right = (nodes.select(F.col("k").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in "ab")
+    met = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            overlap = -(-percent * (na + nb) // (100 + percent))  # the least that makes the pair similar
+            lacks = np.array([least_missing(x, y) for x, y in zip(batch.column("bitsa").to_pylist(), batch.column("bitsb").to_pylist(), strict=True)], np.int64).reshape(-1, 2)
+            yield batch.select(["a", "b"]).filter(pa.array((lacks[:, 0] <= na - overlap) & (lacks[:, 1] <= nb - overlap)))
+
+    return met.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(work, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    left = sets.select(F.col("k").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("k").alias("b"), F.col("tokens").alias("y"))
-    nx, ny = F.size("x"), F.size("y")
-    fits = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)).alias("fits")
-    both = F.size(F.array_intersect("x", "y"))
-    met = pairs.join(left, "a").join(right, "b").where(fits)
-    return met.where(100 * both >= percent * (nx + ny - both)).select("a", "b")
+    left, right = sets.select(F.col("k").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("y"))
+    both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (total - both)).select("a", "b")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,40 +236,53 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str
     are not read. An empty table gives an empty one.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    spark = docs.sparkSession
     first = written(_summaries(rows, n), "summaries")
     each = first.where(F.col("mark").isNotNull())
     heavy = first.where(F.col("mark").isNull()).groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("count")).where(F.col("count") >= FREQUENT)
     tokens = heavy.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     frequent = np.sort(np.ascontiguousarray(tokens).astype(np.int64).view(np.uint64))
     nodes = each.where(F.col("n") > 0).groupBy("mark", "n", "k").agg(F.min("doc_id").alias("least_id"))
-    index = _index(rows, n, frequent, percent)
+    sketches = each.where(F.col("n") > 0).groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    twice = _index(rows, n, frequent, percent).groupBy("place").count().where(F.col("count") > 1).select("place")
+    index = _index(rows, n, frequent, percent, spark.sparkContext.broadcast(bit_map(twice, INDEX_BITS)))
     index = written(index, "index")
-    shared = index.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).where(F.col("low") != F.col("high")).select("sig")
+    shared = index.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("size")).where(F.col("low") != F.col("high")).select("sig", "size")
     buckets = written(index.join(shared, "sig"), "buckets")
-    candidates = buckets.select("k").distinct()
-    sets = written(_sets(rows, n, _key_bitmap(candidates)).join(candidates, "k", "left_semi").dropDuplicates(["k"]), "sets")
-    links, tried = None, None
+    candidates = written(buckets.select("k").distinct(), "candidates")
+    sketches = written(sketches.join(candidates, "k", "left_semi"), "sketches")
+    links, tried, sets = None, None, None
     at = candidates.withColumn("root", F.col("k"))
     for turn in range(HUB_ROUNDS + 1):
-        own = buckets.join(at, "k") if turn else buckets.withColumn("root", F.col("k"))
-        apart = own.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("k", "root"), F.xxhash64("k", F.lit(turn))).alias("hub")).where(F.col("lo") != F.col("hi"))
+        own = (buckets.join(at, "k") if turn else buckets.withColumn("root", F.col("k"))).where(F.col("size") > (SMALL if turn else 0))
+        full = own.where(F.col("size") <= SMALL) if not turn else None
+        large = own.where(F.col("size") > SMALL)
+        apart = large.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "root")).alias("hub")).where(F.col("lo") != F.col("hi"))
         if turn < HUB_ROUNDS:
-            pairs = own.join(apart.select("sig", "hub"), "sig").where(F.col("root") != F.col("hub.root")).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b")).distinct()
+            pairs = large.join(apart.select("sig", "hub"), "sig").where(F.col("root") != F.col("hub.root")).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
         else:
-            left = own.join(apart.select("sig"), "sig", "left_semi").join(sets.select("k", F.size("tokens").alias("n")), "k")
-            a, b = left.select("sig", F.col("k").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")), left.select("sig", F.col("k").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-            pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+            full = large.join(apart.select("sig"), "sig", "left_semi")
+            pairs = None
+        if full is not None:
+            a, b = full.select("sig", F.col("k").alias("a"), F.col("root").alias("ra")), full.select("sig", F.col("k").alias("b"), F.col("root").alias("rb"))
+            paired = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
+            pairs = paired if pairs is None else pairs.unionByName(paired)
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if not pairs.head(1):
-            if turn < HUB_ROUNDS:
-                continue
-            break
-        found = written(_verified(pairs, sets, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        likely = written(_plausible(pairs, sketches, percent), "likely")
+        ends = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        ends = written(ends if sets is None else ends.join(sets.select("k"), "k", "left_anti"), "ends")
+        if ends.head(1):
+            new = written(_sets(rows, n, bit_map(ends.select(F.pmod("k", F.lit(1 << 23)).alias("place")), 1 << 23)).join(ends, "k", "left_semi").dropDuplicates(["k"]), "sets")
+            sets = new if sets is None else sets.unionByName(new)
+        if sets is None:
+            continue
+        found = written(_verified(likely, sets, percent), "links")
         if found.head(1):
+            links = found if links is None else links.unionByName(found)
             at = written(candidates.join(components(links).withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root")), "roots")
     rooted = nodes.join(at, "k", "left").select("mark", "n", "least_id", F.coalesce("root", "k").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))

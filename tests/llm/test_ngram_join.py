@@ -59,6 +59,7 @@ def corpus(seed, size):
 @pytest.mark.parametrize(("seed", "frequent"), [(1, 24), (2, 2), (3, 3)])
 def test_components_against_brute_force(spark, monkeypatch, seed, frequent):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "SMALL", seed)
     rows = corpus(seed, 60)
     rows += [(9000, None, "x"), (9001, "", "x"), (9002, "  \n ", "x"), (9003, "a B", "x"), (9004, "A b", "x"), rows[0], (None, rows[1][1], "x"), (None, "alone without an id", None), (9005, "long " * 3000 + "text", "x")]
     got = ngram_components(spark.createDataFrame(rows, DOCS)).collect()
@@ -101,6 +102,17 @@ def test_similar_sets_share_a_signature(seed):
             assert len(np.intersect1d(signatures(x, frequent), signatures(y, frequent)))
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_bitmaps_never_overstate_what_is_missing(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(50):
+        pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+        x, y = pool[rng.random(len(pool)) < rng.random()], pool[rng.random(len(pool)) < rng.random()]
+        if len(x) and len(y):
+            a, b = ngram_join.least_missing(ngram_join.bitmap_of(x), ngram_join.bitmap_of(y))
+            assert a <= len(np.setdiff1d(x, y)) and b <= len(np.setdiff1d(y, x))
+
+
 def test_shingles_of_short_and_spaced_texts():
     w = WordHashes()
     assert len(shingle_set("", w)) == 0 and len(shingle_set("one two", w)) == 1
