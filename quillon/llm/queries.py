@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.common import crc_mod
+from quillon.llm.lm import score_language
 from quillon.llm.ngram_join import ngram_components
 from quillon.llm.packing import pack_documents
 from quillon.llm.secret_scan import scan_secrets
@@ -32,6 +34,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"), lambda i: crc_mod(i, 7) == 2)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_lm_scoring": op6_lm_scoring,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
