@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,18 +71,6 @@ def doc_groups(batches: Iterable[pa.RecordBatch], text: str = "text", most_chars
             yield batch.slice(start), texts[start:]
 
 
-class WordHashes(dict):
-    """Word bytes to 64-bit hashes, remembered up to a bound."""
-
-    most = 600_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,14 +78,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
-    """Hashes of all ``n``-word runs of a sequence of word hashes; a shorter sequence is one run; none for no words."""
-    if not len(words):
-        return words
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mix64(out + words[i : len(words) - k + 1 + i])
+#: ASCII white space, and the odd base of the word hash.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BASE = 0x9E3779B97F4A7C15
+
+
+class WordHashes:
+    """64-bit hashes of words: a polynomial in the word's bytes modulo 2**64, scrambled. All words of many texts are hashed at once."""
+
+    def __init__(self) -> None:
+        self._grow(1 << 16)
+
+    def _grow(self, size: int) -> None:
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.full(size, BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64))
+
+    def __call__(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words, between ASCII white space, of all texts in a row, and how many words each text has."""
+        sizes = np.array([len(b) + 1 for b in blobs], np.int64)
+        data = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8) if blobs else np.zeros(0, np.uint8)
+        if len(data) >= len(self.power):
+            self._grow(2 * len(data))
+        space = SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True))  # a word begins, and the space behind it
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)])])
+        words = mix64((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        return words, np.diff(np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)])))
+
+
+def shingle_sets(texts: list[str], hashes: WordHashes, n: int = 5) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles: A-Z lower-cased, words parted by ASCII white space. Fewer words are one shingle, none give none."""
+    words, counts = hashes([x.encode("utf-8", "surrogatepass").lower() for x in texts])  # of bytes: ASCII only
+    width = max(0, len(words) - n + 1)
+    runs = np.full(width, n, np.uint64)
+    for i in range(n):
+        runs = mix64(runs + words[i : i + width])
+    out, at = [], 0
+    for m in counts.tolist():
+        if m >= n:
+            own = np.sort(runs[at : at + m - n + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            short = np.full(min(m, 1), m, np.uint64)
+            for i in range(m):
+                short = mix64(short + words[at + i : at + i + 1])
+            out.append(short)
+        at += m
     return out
 
 

@@ -53,7 +53,7 @@ def may_hold(bitmap: np.ndarray, column: str) -> Column:
 
     def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for h in parts:
-            x = h.to_numpy().astype(np.uint64)
+            x = h.fillna(0).to_numpy().astype(np.uint64)
             yield pd.Series((bitmap[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1)
 
     test.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}

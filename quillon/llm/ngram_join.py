@@ -18,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WordHashes, doc_groups, mix64, shingle_hashes, written
+from quillon.llm.common import WordHashes, doc_groups, mix64, shingle_sets, written
 from quillon.llm.components import components, id_filter, may_hold
 
 #: A shingle is frequent from so many counted occurrences on; the list of frequent ones is bounded (8 bytes each), which costs speed only.
@@ -34,12 +33,6 @@ SMALL, HUB_ROUNDS = 4, 3
 INDEX_BITS = 1 << 27
 
 
-def shingle_set(text: str, words: WordHashes, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-word shingles: A-Z lower-cased, words parted by ASCII white space."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII only
-    return np.unique(shingle_hashes(np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts)), n))
-
-
 def fingerprint(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -125,8 +118,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
 
         for batch, texts in doc_groups(batches):
             sizes, marks, keys, bits = [], [], [], []
-            for x in texts:
-                s = shingle_set(x, words, n)
+            for s in shingle_sets(texts, words, n):
                 marks.append(fingerprint(s))
                 keys.append(key_of(marks[-1]))
                 bits.append(bitmap_of(s))
@@ -145,36 +137,39 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n long, mark binary, k long, bits binary")
 
 
-def _index(docs: DataFrame, n: int, frequent: np.ndarray, percent: int, held: Broadcast | None = None) -> DataFrame:
-    """Without ``held`` the hashed places (place) of all index keys in its map; with it the (sig, k) whose place is marked there. Equal sets are indexed once a task."""
+def _index(docs: DataFrame, n: int, frequent: np.ndarray, percent: int) -> DataFrame:
+    """(sig, k) of every document. Equal sets are indexed once a task."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
         for _, texts in doc_groups(batches):
             sigs, keys = [], []
-            for x in texts:
-                s = shingle_set(x, words, n)
+            for s in shingle_sets(texts, words, n):
                 k = key_of(fingerprint(s))
                 if len(s) and k not in seen:
                     seen.add(k)
-                    own = signatures(s, frequent, percent)
-                    if held is not None:
-                        own = own[marked(held.value, own)]
-                    sigs.append(own)
-                    keys.append(np.full(len(own), k, np.int64))
+                    sigs.append(signatures(s, frequent, percent))
+                    keys.append(np.full(len(sigs[-1]), k, np.int64))
             if len(seen) > 1_000_000:
                 seen.clear()
-            if sigs and held is None:
-                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sigs) % np.uint64(INDEX_BITS)).astype(np.int32))], names=["place"])
-            elif sigs:
+            if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "k"])
 
-    return docs.mapInArrow(work, "place int" if held is None else "sig long, k long")
+    return docs.mapInArrow(work, "sig long, k long")
+
+
+def _met_twice(index: DataFrame) -> DataFrame:
+    """The rows of the index whose key may occur more than once, by a map of fixed size that is built from all keys."""
+    place = F.pmod("sig", F.lit(INDEX_BITS)).cast("int").alias("place")
+    twice = index.select(place).groupBy("place").count().where(F.col("count") > 1).select("place")
+    shared = index.sparkSession.sparkContext.broadcast(bit_map(twice, INDEX_BITS))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy().view(np.uint64) % np.uint64(INDEX_BITS)
+            yield batch.filter(pa.array((shared.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1))
 
-def marked(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x % np.uint64(64 * len(bitmap))
-    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return index.mapInArrow(work, "sig long, k long")
 
 
 def bit_map(places: DataFrame, bits: int) -> np.ndarray:
@@ -185,24 +180,17 @@ def bit_map(places: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, n: int, bitmap: np.ndarray) -> DataFrame:
-    """(k, tokens) of the documents whose node may be a candidate; equal sets come once a task."""
+def _sets(docs: DataFrame, ends: DataFrame, n: int) -> DataFrame:
+    """(k, tokens) of the nodes ``ends`` (k, doc_id of one of its documents). Only documents whose id a bounded map may hold are read again."""
+    chosen = docs.where(F.coalesce(may_hold(id_filter(ends, "doc_id"), "doc_id"), F.lit(True)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, bits = WordHashes(), set(), len(bitmap) * 64
+        words = WordHashes()
         for _, texts in doc_groups(batches):
-            keys, sets = [], []
-            for x in texts:
-                s = shingle_set(x, words, n)
-                k = key_of(fingerprint(s))
-                if len(s) and k not in seen and int(bitmap[k % bits >> 6]) >> (k % bits & 63) & 1:
-                    seen.add(k)
-                    keys.append(k)
-                    sets.append(s.view(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "tokens"])
+            sets = shingle_sets(texts, words, n)
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(fingerprint(s)) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k", "tokens"])
 
-    return docs.mapInArrow(work, "k long, tokens array<long>")
+    return chosen.mapInArrow(work, "k long, tokens array<long>").join(ends, "k", "left_semi").dropDuplicates(["k"])
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -236,17 +224,14 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str
     are not read. An empty table gives an empty one.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    spark = docs.sparkSession
     first = written(_summaries(rows, n), "summaries")
     each = first.where(F.col("mark").isNotNull())
     heavy = first.where(F.col("mark").isNull()).groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("count")).where(F.col("count") >= FREQUENT)
     tokens = heavy.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     frequent = np.sort(np.ascontiguousarray(tokens).astype(np.int64).view(np.uint64))
     nodes = each.where(F.col("n") > 0).groupBy("mark", "n", "k").agg(F.min("doc_id").alias("least_id"))
-    sketches = each.where(F.col("n") > 0).groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    twice = _index(rows, n, frequent, percent).groupBy("place").count().where(F.col("count") > 1).select("place")
-    index = _index(rows, n, frequent, percent, spark.sparkContext.broadcast(bit_map(twice, INDEX_BITS)))
-    index = written(index, "index")
+    sketches = each.where(F.col("n") > 0).groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    index = _met_twice(written(_index(rows, n, frequent, percent), "index"))
     shared = index.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("size")).where(F.col("low") != F.col("high")).select("sig", "size")
     buckets = written(index.join(shared, "sig"), "buckets")
     candidates = written(buckets.select("k").distinct(), "candidates")
@@ -274,9 +259,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str
         tried = pairs if tried is None else tried.unionByName(pairs)
         likely = written(_plausible(pairs, sketches, percent), "likely")
         ends = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        ends = written(ends if sets is None else ends.join(sets.select("k"), "k", "left_anti"), "ends")
+        ends = written((ends if sets is None else ends.join(sets.select("k"), "k", "left_anti")).join(sketches.select("k", "doc_id"), "k"), "ends")
         if ends.head(1):
-            new = written(_sets(rows, n, bit_map(ends.select(F.pmod("k", F.lit(1 << 23)).alias("place")), 1 << 23)).join(ends, "k", "left_semi").dropDuplicates(["k"]), "sets")
+            new = written(_sets(rows, ends, n), "sets")
             sets = new if sets is None else sets.unionByName(new)
         if sets is None:
             continue
