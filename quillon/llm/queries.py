@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import crc_mod
+from quillon.llm.hnsw import nearest_neighbours
 from quillon.llm.lm import score_language
 from quillon.llm.ngram_join import ngram_components
 from quillon.llm.packing import pack_documents
 from quillon.llm.secret_scan import scan_secrets
+from quillon.llm.threshold_search import exact_top_k
 from quillon.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from quillon.llm.url_filter import SOFT_TERMS, STRICT_TERMS, filter_urls
 
@@ -30,6 +32,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+#: The two operands' integer products, without null or non-finite vectors.
+EXACT_TOP_K_SQL = """
+    WITH e AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+          FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+    QUALIFY rank <= 20"""
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -38,6 +54,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(table(spark, sf_dir, "documents"), lambda i: crc_mod(i, 7) == 2)
 
 
+def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
@@ -67,9 +87,11 @@ def url_filter_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_lm_scoring": op6_lm_scoring,
+    "op8_hnsw_search": op8_hnsw_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": url_filter_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op10_url_filter": url_filter_sql()}
