@@ -12,6 +12,8 @@ from quillon.llm.hnsw import nearest_neighbours
 from quillon.llm.lm import score_language
 from quillon.llm.ngram_join import ngram_components
 from quillon.llm.packing import pack_documents
+from quillon.llm.piece_bpe import round_trips
+from quillon.llm.quality import fit_quality, score_quality
 from quillon.llm.secret_scan import scan_secrets
 from quillon.llm.threshold_search import exact_top_k
 from quillon.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -50,10 +52,19 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(table(spark, sf_dir, "documents"), lambda i: crc_mod(i, 7) == 2)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, fit_quality(docs), keep=["doc_id"])
+
+
 def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -89,7 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_hnsw_search": op8_hnsw_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,

@@ -7,7 +7,7 @@ import pytest
 
 from quillon.llm.common import doc_groups
 from quillon.llm.packing import bin_completion, least_bins, pack_documents
-from quillon.llm.secret_scan import redacted, scan_secrets
+from quillon.llm.secret_scan import mask_secrets, scan_secrets
 from quillon.llm.subword import ByteBpe
 from quillon.llm.url_filter import filter_urls
 
@@ -58,7 +58,7 @@ def test_secrets_against_brute_force(spark):
 
 def test_redaction_masks_every_span(spark):
     docs = spark.createDataFrame([(1, SECRETS[2], "n"), (2, None, "n"), (3, "clean", "n")], DOCS)
-    out = {r["doc_id"]: r["text"] for r in redacted(docs, scan_secrets(docs)).collect()}
+    out = {r["doc_id"]: r["text"] for r in mask_secrets(docs).collect()}
     assert out[2] is None and out[3] == "clean" and len(out[1]) == len(SECRETS[2])
     assert "hunter22" not in out[1] and "AKIA" not in out[1] and "0123456789abcdef" not in out[1] and "é😀" in out[1]
 
