@@ -27,8 +27,9 @@ from quillon.llm.components import components, id_filter, may_hold
 #: A shingle is frequent from so many counted occurrences on; the list of frequent ones is bounded (8 bytes each), which costs speed only.
 FREQUENT, MOST_FREQUENT = 3, 1 << 20
 CHUNK = 4_000_000
-#: Buckets up to this size are paired in full at once; larger ones are first compared with so many hubs.
-SMALL, HUB_ROUNDS = 4, 3
+#: Buckets up to this size are paired in full at once. Larger ones are compared with hubs, in so many rounds at most, until the pairs that
+#: are still apart are no more than the rows of the index, or so many.
+SMALL, HUB_ROUNDS, FEW_PAIRS = 4, 10, 200_000
 #: Bits of the map of index keys that occur more than once. Its size is fixed; where it fills up, more keys are shuffled and none is lost.
 INDEX_BITS = 1 << 27
 
@@ -208,6 +209,13 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(work, "a long, b long")
 
 
+def _paired(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes of one bucket that are in different components and not too different in size."""
+    a, b = (rows.select("sig", F.col("k").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return a.join(b, ["sig"]).where(fits).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     left, right = sets.select(F.col("k").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("k").alias("b"), F.col("tokens").alias("y"))
@@ -237,21 +245,24 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str
     candidates = written(buckets.select("k").distinct(), "candidates")
     sketches = written(sketches.join(candidates, "k", "left_semi"), "sketches")
     links, tried, sets = None, None, None
-    at = candidates.withColumn("root", F.col("k"))
-    for turn in range(HUB_ROUNDS + 1):
-        own = (buckets.join(at, "k") if turn else buckets.withColumn("root", F.col("k"))).where(F.col("size") > (SMALL if turn else 0))
-        full = own.where(F.col("size") <= SMALL) if not turn else None
+    at = written(sketches.select("k", "n", F.col("k").alias("root")), "roots")
+    large_rows = buckets.where(F.col("size") > SMALL).count()
+    last, turn = False, -1
+    while not last:
+        turn += 1
+        own = buckets.join(at, "k")
         large = own.where(F.col("size") > SMALL)
-        apart = large.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "root")).alias("hub")).where(F.col("lo") != F.col("hi"))
-        if turn < HUB_ROUNDS:
+        by_root = large.groupBy("sig", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("k", F.lit(turn)) if not turn else F.xxhash64("k", "sig", F.lit(turn)), "k")).alias("hub"))
+        apart = by_root.groupBy("sig").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "root", "hub.k")).alias("hub")).where(F.col("roots") > 1)
+        apart = written(apart, "apart")
+        open_pairs = apart.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
+        last = turn >= HUB_ROUNDS or open_pairs <= max(FEW_PAIRS, large_rows)
+        if last:
+            pairs = _paired(large.join(apart.select("sig"), "sig", "left_semi"), percent)
+        else:  # a hub of the largest component of each bucket
             pairs = large.join(apart.select("sig", "hub"), "sig").where(F.col("root") != F.col("hub.root")).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
-        else:
-            full = large.join(apart.select("sig"), "sig", "left_semi")
-            pairs = None
-        if full is not None:
-            a, b = full.select("sig", F.col("k").alias("a"), F.col("root").alias("ra")), full.select("sig", F.col("k").alias("b"), F.col("root").alias("rb"))
-            paired = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))).select("a", "b")
-            pairs = paired if pairs is None else pairs.unionByName(paired)
+        if not turn:
+            pairs = pairs.unionByName(_paired(own.where(F.col("size") <= SMALL), percent))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -268,8 +279,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str
         found = written(_verified(likely, sets, percent), "links")
         if found.head(1):
             links = found if links is None else links.unionByName(found)
-            at = written(candidates.join(components(links).withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root")), "roots")
-    rooted = nodes.join(at, "k", "left").select("mark", "n", "least_id", F.coalesce("root", "k").alias("root"))
+            at = written(sketches.select("k", "n").join(components(links).withColumnRenamed("node", "k"), "k", "left").select("k", "n", F.coalesce("root", "k").alias("root")), "roots")
+    rooted = nodes.join(at.select("k", "root"), "k", "left").select("mark", "n", "least_id", F.coalesce("root", "k").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_mark = rooted.join(smallest, "root").select("mark", "n", "component_id")
     many = each.where(F.col("n") > 0).join(by_mark, ["mark", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
