@@ -21,7 +21,7 @@ from quillon.llm.trees import BoostedTrees, isotonic, sigmoid
 
 #: Bounds of the labelled sample that a model is fitted on.
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
-LEXICON_SIZE, PREFIXES, LEAST_DOCS, LEAST_LOG_ODDS = 400, (4, 5), 4, 2.5
+LEXICON_SIZE, PREFIXES, LEAST_DOCS, LEAST_LOG_ODDS = 400, (4, 5), 3, 2.5
 THRESHOLD = 0.3
 #: Words that address a reader, and letters that digits and signs stand for.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo tus usted ustedes vosotros".split())
