@@ -57,18 +57,20 @@ def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(work, schema)
 
 
-def doc_groups(batches: Iterable[pa.RecordBatch], text: str = "text", most_chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def doc_groups(batches: Iterable[pa.RecordBatch], text: str = "text", most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches that hold about ``most_chars`` characters each (one text may be longer), with their texts; null is empty."""
-    for batch in batches:
-        texts = ["" if x is None else x for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        start = size = 0
-        for i, x in enumerate(texts):
-            if i > start and size + len(x) > most_chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(x)
-        if len(texts) > start:
-            yield batch.slice(start), texts[start:]
+    for whole in batches:
+        for first in range(0, whole.num_rows, 512):  # so that no whole batch of texts is held as strings
+            batch = whole.slice(first, 512)
+            texts = ["" if x is None else x for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            start = size = 0
+            for i, x in enumerate(texts):
+                if i > start and size + len(x) > most_chars:
+                    yield batch.slice(start, i - start), texts[start:i]
+                    start, size = i, 0
+                size += len(x)
+            if len(texts) > start:
+                yield batch.slice(start), texts[start:]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -26,12 +26,14 @@ from quillon.llm.components import components, id_filter, may_hold
 
 #: A shingle is frequent from so many counted occurrences on; the list of frequent ones is bounded (8 bytes each), which costs speed only.
 FREQUENT, MOST_FREQUENT = 3, 1 << 20
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Buckets up to this size are paired in full at once. Larger ones are compared with hubs, in so many rounds at most, until the pairs that
 #: are still apart are no more than the rows of the index, or so many.
-SMALL, HUB_ROUNDS, FEW_PAIRS = 4, 10, 200_000
+SMALL, HUB_ROUNDS, FEW_PAIRS = 4, 2, 200_000
+#: Rows of a block when buckets are paired in full.
+BLOCK = 128
 #: Bits of the map of index keys that occur more than once. Its size is fixed; where it fills up, more keys are shuffled and none is lost.
-INDEX_BITS = 1 << 27
+INDEX_BITS = 1 << 26
 
 
 def fingerprint(tokens: np.ndarray) -> bytes:
@@ -209,11 +211,72 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(work, "a long, b long")
 
 
-def _paired(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes of one bucket that are in different components and not too different in size."""
-    a, b = (rows.select("sig", F.col("k").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return a.join(b, ["sig"]).where(fits).select("a", "b")
+def block_pairs(k: np.ndarray, root: np.ndarray, n: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs of a left and a right row that are in different components and that sizes and bitmaps do not rule out."""
+    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    fits = (a != b) & (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+    a, b = a[fits], b[fits]
+    width = np.array([len(x) for x in bits])
+    keep = np.zeros(len(a), bool)
+    narrow = np.minimum(width[a], width[b])
+    for w in np.unique(narrow):
+        at = np.flatnonzero(narrow == w)
+        used = np.unique(np.concatenate([a[at], b[at]]))
+        table = np.zeros((len(n), w), np.uint8)
+        for r in used:
+            x = np.frombuffer(bits[r], np.uint8).reshape(-1, w)
+            table[r] = np.bitwise_or.reduce(x, 0)
+        for part in np.array_split(at, max(1, len(at) * int(w) // 4_000_000 + 1)):
+            x, y = table[a[part]], table[b[part]]
+            overlap = -(-percent * (n[a[part]] + n[b[part]]) // (100 + percent))
+            lacks = np.bitwise_count(x & ~y).sum(1) <= n[a[part]] - overlap
+            keep[part] = lacks & (np.bitwise_count(y & ~x).sum(1) <= n[b[part]] - overlap)
+    a, b = k[a[keep]], k[b[keep]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _paired(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The likely pairs (a, b) of nodes of one bucket that are in different components; ``rows`` has sig, size, k and root.
+
+    A bucket is dealt into blocks of about ``BLOCK`` rows. Two blocks meet in one task, which compares bitmaps and gives only likely pairs:
+    neither a bucket nor its pairs ever stand in one place.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("k", "sig"), blocks).cast("int").alias("own")
+    dealt = rows.join(sketches.select("k", "n", "bits"), "k").select("sig", "k", "root", "n", "bits", own, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select("sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k", "root", "n", "bits")
+    keys = ["sig", "lo", "hi"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def compared(table: pa.Table) -> pa.RecordBatch:
+            sig, lo, hi, side, k, root, n = (table.column(i).to_numpy() for i in range(7))
+            bits = table.column(7).to_pylist()
+            edges = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]), [True]]))
+            found = []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                if e - s < 2 or (root[s:e] == root[s]).all():
+                    continue
+                at = np.arange(e - s)
+                left, right = (at, at) if lo[s] == hi[s] else (at[side[s:e] == lo[s]], at[side[s:e] == hi[s]])
+                found.append(block_pairs(k[s:e], root[s:e], n[s:e], bits[s:e], left, right, percent))
+            a, b = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:  # sorted by key; the last key of a batch may go on in the next
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            sig, lo, hi = (table.column(i).to_numpy() for i in range(3))
+            begun = int(np.flatnonzero((sig != sig[-1]) | (lo != lo[-1]) | (hi != hi[-1]))[-1]) + 1 if len(sig) and ((sig != sig[-1]) | (lo != lo[-1]) | (hi != hi[-1])).any() else 0
+            if begun:
+                yield compared(table.slice(0, begun))
+            held = table.slice(begun)
+        if held is not None and held.num_rows:
+            yield compared(held)
+
+    parts = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return parts.mapInArrow(work, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -245,30 +308,30 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str
     candidates = written(buckets.select("k").distinct(), "candidates")
     sketches = written(sketches.join(candidates, "k", "left_semi"), "sketches")
     links, tried, sets = None, None, None
-    at = written(sketches.select("k", "n", F.col("k").alias("root")), "roots")
+    at = written(sketches.select("k", F.col("k").alias("root")), "roots")
     large_rows = buckets.where(F.col("size") > SMALL).count()
     last, turn = False, -1
     while not last:
         turn += 1
         own = buckets.join(at, "k")
         large = own.where(F.col("size") > SMALL)
-        by_root = large.groupBy("sig", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("k", F.lit(turn)) if not turn else F.xxhash64("k", "sig", F.lit(turn)), "k")).alias("hub"))
+        hub = F.xxhash64("k", F.lit(turn)) if not turn else F.xxhash64("k", "sig", F.lit(turn))
+        by_root = large.groupBy("sig", "root").agg(F.count("*").alias("c"), F.min(F.struct(hub.alias("h"), "k")).alias("hub"))
         apart = by_root.groupBy("sig").agg(F.count("*").alias("roots"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.max(F.struct("c", "root", "hub.k")).alias("hub")).where(F.col("roots") > 1)
         apart = written(apart, "apart")
         open_pairs = apart.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
         last = turn >= HUB_ROUNDS or open_pairs <= max(FEW_PAIRS, large_rows)
         if last:
-            pairs = _paired(large.join(apart.select("sig"), "sig", "left_semi"), percent)
+            likely = _paired(large.join(apart.select("sig"), "sig", "left_semi"), sketches, percent)
         else:  # a hub of the largest component of each bucket
-            pairs = large.join(apart.select("sig", "hub"), "sig").where(F.col("root") != F.col("hub.root")).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b"))
+            pairs = large.join(apart.select("sig", "hub"), "sig").where(F.col("root") != F.col("hub.root")).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b")).distinct()
+            likely = _plausible(pairs, sketches, percent)
         if not turn:
-            pairs = pairs.unionByName(_paired(own.where(F.col("size") <= SMALL), percent))
-        pairs = pairs.distinct()
+            likely = likely.unionByName(_paired(own.where(F.col("size") <= SMALL), sketches, percent)).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        likely = written(_plausible(pairs, sketches, percent), "likely")
+            likely = likely.join(tried, ["a", "b"], "left_anti")
+        likely = written(likely, "likely")
+        tried = likely if tried is None else tried.unionByName(likely)
         ends = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
         ends = written((ends if sets is None else ends.join(sets.select("k"), "k", "left_anti")).join(sketches.select("k", "doc_id"), "k"), "ends")
         if ends.head(1):
@@ -279,7 +342,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, doc_id: str
         found = written(_verified(likely, sets, percent), "links")
         if found.head(1):
             links = found if links is None else links.unionByName(found)
-            at = written(sketches.select("k", "n").join(components(links).withColumnRenamed("node", "k"), "k", "left").select("k", "n", F.coalesce("root", "k").alias("root")), "roots")
+            at = written(sketches.select("k").join(components(links).withColumnRenamed("node", "k"), "k", "left").select("k", F.coalesce("root", "k").alias("root")), "roots")
     rooted = nodes.join(at.select("k", "root"), "k", "left").select("mark", "n", "least_id", F.coalesce("root", "k").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_mark = rooted.join(smallest, "root").select("mark", "n", "component_id")

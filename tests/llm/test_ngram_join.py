@@ -127,3 +127,20 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, j) for j in range(101, 300)] + [(500, 500), (501, 500), (500, 501)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 300)) and got[501] == 500 == got[500]
+
+
+def test_blocks_give_every_likely_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    sets = [pool[rng.random(len(pool)) < 0.9] for _ in range(20)] + [pool[:30][rng.random(30) < 0.95] for _ in range(9)]
+    rows = [(1, 29, i, i % 25) for i in range(29)] + [(2, 4, i, i) for i in range(4)]
+    sketches = spark.createDataFrame([(i, len(s), bytearray(ngram_join.bitmap_of(s))) for i, s in enumerate(sets)], "k long, n long, bits binary")
+    got = {tuple(r) for r in ngram_join._paired(spark.createDataFrame(rows, "sig long, size long, k long, root long"), sketches, 75).collect()}
+    for i in range(29):
+        for j in range(i + 1, 29):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            similar = 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
+            if similar and i % 25 != j % 25:
+                assert (i, j) in got
+    assert all(a < b for a, b in got)
