@@ -53,8 +53,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+def hash_sample(df: DataFrame, rows: int, total: int, *columns: str) -> DataFrame:
+    """The ``rows`` rows of the smallest hashes of the columns. A threshold on the hash, set from the row count, leaves few rows to sort."""
+    h = F.xxhash64(*columns)
+    share = min(1.0, (2 * rows + 100) / max(1, total))
+    near = df if share == 1 else df.where(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return near.orderBy(F.pmod(h, F.lit(1 << 40)), *columns).limit(rows)
+
 
 
 def doc_groups(batches: Iterable[pa.RecordBatch], text: str = "text", most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

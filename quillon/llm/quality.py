@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import doc_groups, with_text_columns
+from quillon.llm.common import doc_groups, hash_sample, with_text_columns
 
 #: Bound of the sample that the linear scorer is fitted on.
 SAMPLE_DOCS = 4000
@@ -178,7 +178,7 @@ def fit_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights, bias))], pa.binary())], names=["model"])
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    chosen = docs.select(body.alias("text")).orderBy(F.xxhash64("text"), F.length("text")).limit(sample_docs)
+    chosen = hash_sample(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text")), sample_docs, int(counts.sum()), "doc_id", "text").select("text")
     weights, bias = pickle.loads(chosen.coalesce(1).mapInArrow(fit, "model binary").first()["model"])
     return QualityModel(labels, weights, bias)
 
