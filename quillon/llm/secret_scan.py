@@ -105,7 +105,6 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("_text")).withColumn("_key", key_of("doc_id"))
     by_text = kept_spans(rows.where(has_some(F.col("_text"))), scope)
     spelled = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    by_text = kept.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("all"))
     out = rows.select("doc_id", "_key").join(by_text, "_key", "left").withColumn("all", F.coalesce("all", F.array().cast(by_text.schema["all"].dataType)))
     count = lambda kind: F.size(F.filter("all", lambda s: s["kind"] == kind)).cast("long")
     return out.select(

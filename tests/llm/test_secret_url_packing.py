@@ -67,6 +67,14 @@ def test_scan_of_an_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_secret_query_gives_a_row_per_document(spark):
+    from quillon.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op9_secret_scan"](spark, d)
+    assert got.count() == spark.read.parquet(f"{d}/documents.parquet").count() and got.where("spans <> ''").count() > 0
+
+
 def test_url_rules_and_vocabulary(spark):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow")]
     cases = {
