@@ -14,15 +14,17 @@ BASE = {
 }
 #: Weak parts: nothing by themselves. ident: identifiers of accounts; key: long runs of mixed letters and digits; endpoint: where they are used.
 WEAK = {
-    "ident": (r"""\b(?:A[SR]IA[A-Z0-9]{12,}|AKIA[A-Z0-9]{8,15}\b|(?i:client_id|user(?:name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,64})""", 0, 1),
-    "key": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,100}[0-9])(?=[0-9+/_-]{0,100}[A-Za-z])[A-Za-z0-9+/_-]{20,100}(?![A-Za-z0-9+/_-])", 0, 20),
-    "endpoint": (r"\b(?:https?|ftp|jdbc:[a-z]{1,16}|postgres(?:ql)?|mysql|redis|amqp)://[A-Za-z0-9._:@/-]{3,200}", 0, 8),
+    "ident": (r"""\b(?:A[SR]IA[A-Z0-9]{12,}|AKIA[A-Z0-9]{8,15}\b|(?i:client_id|user(?:name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._-]{3,})""", 0, 1),
+    "key": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+", 0, 20),
+    "endpoint": (r"\b(?:https?|ftp|jdbc:[a-z]{1,16}|postgres(?:ql)?|mysql|redis|amqp)://[A-Za-z0-9._:@/-]{3,}", 0, 8),
 }
 KINDS = (*BASE, *WEAK)
 ROLE = {"assign": "secret", "access": "ident", "hex": "secret", "ident": "ident", "key": "secret", "endpoint": "endpoint"}
 #: The roles that make a weak part count when one of them is in its scope.
 COMPLEMENTS = {"ident": ("secret",), "key": ("ident",), "endpoint": ("ident", "secret")}
 SCOPE = 160
+#: More than any position in a text.
+FAR = 1 << 40
 MARK, STAND_IN = "\x01", "\x02"
 
 
@@ -54,35 +56,49 @@ def role_of(kind: Column) -> Column:
     return out
 
 
-def linked_weak(spans: DataFrame, key: str = "_key", scope: int = SCOPE) -> DataFrame:
-    """The weak spans that have a complementary part within ``scope`` code points, start to start, and do not overlap a base span.
+def with_linked(spans: DataFrame, key: str = "_key", scope: int = SCOPE) -> DataFrame:
+    """The base spans, and the weak spans that overlap no base span and have a complementary part at most ``scope`` code points from edge to edge.
 
-    The interval join is an equi-join on (text, block of ``scope`` code points), a part standing in its own and both neighbouring blocks:
-    a block holds few parts because parts of a kind do not overlap.
+    One sort of each text's edges, without a join: a span asks at its edges, and answers at its own for the others. Three sweeps lie ``FAR``
+    apart on one line: what overlaps (0), what begins behind a span's end (1), what ends before its start (2). The frames of the last two
+    hold few parts because parts of a kind do not overlap; spans of any length are met.
     """
-    block = F.floor(F.col("start") / scope)
-    weak = spans.where(F.col("kind").isin(*WEAK)).withColumn("block", block)
-    every = spans.select(key, F.col("kind").alias("other"), F.col("start").alias("at"), F.col("end").alias("till"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    apart = (F.col("end") <= F.col("at")) | (F.col("till") <= F.col("start"))
+    base = F.col("kind").isin(*BASE)
+    edge = lambda sweep, at, asks: F.struct((F.lit(sweep * FAR) + at).alias("point"), F.lit(sweep).alias("sweep"), F.lit(asks).alias("asks"))
+    first, last = F.col("start"), F.col("end")
+    of_base = F.array(edge(0, last - 1, True), edge(0, first, False), edge(1, first, False), edge(2, last, False))
+    of_weak = F.array(edge(0, last - 1, True), edge(1, last, True), edge(1, first, False), edge(2, first, True), edge(2, last, False))
+    rows = spans.select(key, "kind", "start", "end", F.explode(F.when(base, of_base).otherwise(of_weak)).alias("e")).select(key, "kind", "start", "end", "e.*")
+    order = W.partitionBy(key).orderBy("point")
+    answer = lambda role: F.max(F.when(~F.col("asks") & (role_of(F.col("kind")) == role), 1))
+    frames = {0: order.rangeBetween(W.unboundedPreceding, 0), 1: order.rangeBetween(0, scope), 2: order.rangeBetween(-scope, 0)}
+    rows = rows.withColumn("till", F.max(F.when(~F.col("asks") & (F.col("sweep") == 0), F.col("end"))).over(frames[0]))
+    roles = sorted({r for some in COMPLEMENTS.values() for r in some})
+    near = lambda role: F.when(F.col("sweep") == 1, answer(role).over(frames[1])).when(F.col("sweep") == 2, answer(role).over(frames[2])).isNotNull()
+    rows = rows.withColumns({f"near_{r}": near(r) for r in roles})
     fits = F.lit(False)
-    for kind, roles in COMPLEMENTS.items():
-        fits = fits | ((F.col("kind") == kind) & role_of(F.col("other")).isin(*roles))
-    pairs = weak.join(every, [key, "block"])
-    pairs = pairs.select(key, "kind", "start", "end", (fits & apart & (F.abs(F.col("start") - F.col("at")) <= scope)).alias("near"), (F.col("other").isin(*BASE) & ~apart).alias("covered"))
-    found = pairs.groupBy(key, "kind", "start", "end").agg(F.max("near").alias("near"), F.max("covered").alias("covered"))
-    return found.where(F.col("near") & ~F.col("covered")).select(key, "kind", "start", "end")
+    for kind, some in COMPLEMENTS.items():
+        for r in some:
+            fits = fits | ((F.col("kind") == kind) & F.col(f"near_{r}"))
+    covered = (F.col("sweep") == 0) & F.coalesce(F.col("till") > F.col("start"), F.lit(False))
+    found = rows.where("asks").groupBy(key, "kind", "start", "end").agg(F.max(fits).alias("fits"), F.max(covered).alias("covered"))
+    return found.where(base | (F.col("fits") & ~F.col("covered"))).select(key, "kind", "start", "end")
 
 
 def has_some(text: Column) -> Column:
     """Whether anything can be found in a text: a base match, or weak parts that could complement each other."""
     has = {kind: text.rlike(spec[0]) for kind, spec in (BASE | WEAK).items()}
-    return F.coalesce(has["assign"] | has["access"] | has["hex"] | (has["ident"] & has["key"]), F.lit(False))
+    some = F.lit(False)
+    for kind in BASE:
+        some = some | has[kind]
+    for kind, other in sorted({tuple(sorted((k, o))) for k, roles in COMPLEMENTS.items() for o in WEAK if o != k and ROLE[o] in roles}):
+        some = some | (has[kind] & has[other])
+    return F.coalesce(some, F.lit(False))
 
 
 def kept_spans(rows: DataFrame, scope: int) -> DataFrame:
     """(_key, all): the base spans and the linked weak ones of each (_key, _text), by start and then kind."""
-    spans = found_spans(rows)
-    kept = spans.where(F.col("kind").isin(*BASE)).unionByName(linked_weak(spans, scope=scope))
+    kept = with_linked(found_spans(rows), scope=scope)
     rank = F.lit(len(KINDS))
     for i, kind in enumerate(KINDS):
         rank = F.when(F.col("kind") == kind, F.lit(i)).otherwise(rank)

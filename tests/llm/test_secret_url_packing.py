@@ -67,6 +67,35 @@ def test_scan_of_an_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_each_complementary_pair_alone(spark):
+    key, url, login, asia = "wJalrXUtnFEMI7K7MDENG+bPxRfiCYEXAMPLEKEY", "https://db.example.com/prod", "login=admin", "ASIAABCDEFGHIJKLMNOP"
+    long_key, long_url = "aB3" * 70, "https://db.example.com/" + "p" * 300
+    cases = [  # text, the parts that are linked in it
+        (f"{login} {url}", [url]),
+        (f"{url} {login}", [url]),
+        (f"{key} {url}", [url]),
+        (f"{login} {key}", [login, key]),
+        (f"{asia} {key}", [asia, key]),
+        (f"x {long_key} {asia}", [long_key, asia]),
+        (f"{long_url} {key}", [long_url]),
+        (f"{login} {'-' * 158} {key}", [login, key]),
+        (f"{login} {'-.' * 80} {key}", []),
+        (f"token={'a1' * 400} {login}", ["login=admin"]),
+        (f"token={'a' * 500} https://x.org/{'c' * 9}", [f"https://x.org/{'c' * 9}"]),
+        (f"token={'=' * 400}{key} {asia}", [asia]),  # the key lies in the base span
+        (url, []),
+        (login, []),
+        (f"{url} {url}/2", []),
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(cases)], DOCS)
+    masked = {r["doc_id"]: r["text"] for r in mask_secrets(docs).collect()}
+    for r in scan_secrets(docs).collect():
+        text, want = cases[r["doc_id"]]
+        weak = [text[s["start"] : s["end"]] for s in r["found"] if s["kind"] in ("ident", "key", "endpoint")]
+        assert sorted(weak) == sorted(want), text
+        assert all(masked[r["doc_id"]][s["start"] : s["end"]].strip("*") == "" for s in r["found"]) and len(masked[r["doc_id"]]) == len(text)
+
+
 def test_secret_query_gives_a_row_per_document(spark):
     from quillon.llm.queries import QUERIES
 
