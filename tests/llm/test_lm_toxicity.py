@@ -82,6 +82,21 @@ def test_base_scores_against_brute_force(spark):
     assert score_language(spark.createDataFrame([], DOCS), lambda i: crc_mod(i, 7) == 2, steps=1).count() == 0
 
 
+def test_model_learns_from_every_training_text(spark):
+    from quillon.llm import lm
+
+    rng = np.random.default_rng(5)
+    seqs = [rng.choice(40, int(n)) for n in rng.integers(0, 90, 3000)] + [rng.choice(40, 2_600_000)]  # more texts than 2,500, one of more ids than 2,500,000
+    counts = np.bincount(np.concatenate(seqs), minlength=IDS)
+    counts[END] = len(seqs)
+    rows = spark.createDataFrame([(i, s.astype("<u2").tobytes()) for i, s in enumerate(seqs)], "uid long, ids binary").repartition(8, "uid")
+    net, met = lm.fitted(rows, counts, 1)
+    assert met == sum(-(-(len(s) + 1) // net.stride) for s in seqs)
+    words = lm.classes_of(rows, counts)
+    want = vocabulary(counts, seqs)
+    assert (words.of_class == want.of_class).all() and np.allclose(words.share, want.share)
+
+
 def test_isotonic_pools_violators():
     x, y = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(y) >= 0).all() and np.interp([2, 3], x, y).tolist() == [0.5, 0.5] and y[-1] == 1
