@@ -97,6 +97,19 @@ def test_model_learns_from_every_training_text(spark):
     assert (words.of_class == want.of_class).all() and np.allclose(words.share, want.share)
 
 
+def test_every_id_is_scored_behind_half_a_window():
+    from quillon.llm.lm import CONTEXT, NEW
+
+    _, seqs = small_model()
+    counts = np.bincount(np.concatenate(seqs), minlength=IDS)
+    net = Attention(vocabulary(counts, seqs), CONTEXT, NEW).start()
+    assert net.p["w2"].shape == (64, 192) and CONTEXT - NEW >= max(64, CONTEXT // 2)
+    inputs, targets, _ = windows([np.arange(300) % 40], CONTEXT, NEW)
+    changed = inputs.copy()
+    changed[1, 0] = 39
+    assert net.log10(inputs, targets)[1, 0] != net.log10(changed, targets)[1, 0]
+
+
 def test_isotonic_pools_violators():
     x, y = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(y) >= 0).all() and np.interp([2, 3], x, y).tolist() == [0.5, 0.5] and y[-1] == 1
