@@ -23,6 +23,8 @@ from quillon.llm.common import doc_groups, hash_sample, with_text_columns
 SAMPLE_DOCS = 4000
 DIMENSIONS, THRESHOLD = 4096, 0.5
 GOOD, JUNK, NONE = 1, -1, 0
+#: Words of a window in which distinct ones are counted.
+SPAN = 400
 LABELLERS = ("adjacent repeats", "distinct words", "capitals", "trailing signs", "delimiters", "letters", "sentence ends", "word length", "repeated lines")
 RUN = re.compile(r"(.)\1+")
 SIGNS = re.compile(r"[^\w\s.,;:?'\"()»«…-]$|!!$")
@@ -30,10 +32,15 @@ SIGNS = re.compile(r"[^\w\s.,;:?'\"()»«…-]$|!!$")
 
 def shape(word: str) -> str:
     """Letters by case, digits as 9, signs as they are; runs are one."""
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64])
+    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     return RUN.sub(r"\1", out)
 
 
+def distinct_share(at: np.ndarray) -> float:
+    """The share of distinct words within consecutive windows of ``SPAN`` words, over all words of the text."""
+    return sum(len(np.unique(at[i : i + SPAN])) for i in range(0, len(at), SPAN)) / len(at)
+
+
 class WordShapes:
     """Per distinct word its shape's hash and some counts."""
 
@@ -65,7 +72,7 @@ class WordShapes:
         at = self.rows(words)
         again = np.concatenate([[False], at[1:] == at[:-1]])
         caps, signs, delimiters, letters, chars, ends = self.counts[at].sum(0, dtype=np.float64)
-        distinct = len(np.unique(at)) / min(n, 400)
+        distinct = distinct_share(at)
         lines = [x for x in text.split("\n") if x.strip()]
         twice = 1 - len(set(lines)) / max(1, len(lines))
 

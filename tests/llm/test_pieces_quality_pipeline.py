@@ -51,6 +51,18 @@ def test_accuracies_are_recovered():
     assert votes_of(np.array([0, 3**9 - 1])).tolist() == [[-1] * 9, [1] * 9] and LabelModel(0.5, np.full((2, 9), 0.7)).posterior(np.zeros((1, 9)))[0] == 0.5
 
 
+def test_long_words_and_long_texts_are_looked_at_whole():
+    from quillon.llm.quality import WordShapes, shape
+
+    start = "a" * 64
+    assert shape(start + "9Z" * 50) == "x" + "9X" * 50
+    look = WordShapes().look
+    assert look(start + "bc")[1].tolist() != look(start + "9Z")[1].tolist()
+    vote = lambda words: look(" ".join(words))[0][1]
+    assert vote([f"w{i % 60}" for i in range(400)]) == vote([f"w{i // 400 * 60 + i % 60}" for i in range(2000)]) == JUNK
+    assert vote([f"w{i}" for i in range(2000)]) == GOOD
+
+
 def test_junk_goes_and_clean_stays(spark):
     rng = np.random.default_rng(1)
     words = [f"{a}{b}" for a in "bcdfgh" for b in ("an", "elo", "iter", "ond", "usk")]
