@@ -34,13 +34,38 @@ def _remove(spark: SparkSession, place: str) -> None:
         return
 
 
+#: Folders of written tables that are still there, by the DataFrame that reads them.
+_PLACES: dict[int, tuple[DataFrame, str]] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage is cut, and every executor sees the files."""
+    """``df`` written as Parquet in the shared folder and read again: its lineage is cut, and every executor sees the files.
+
+    The folder goes when ``discard`` is called, or when the driver ends.
+    """
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(place)
     atexit.register(_remove, spark, place)
-    return spark.read.schema(df.schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    _PLACES[id(out)] = (out, place)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of ``written`` tables from which nothing will be read again; others are left alone."""
+    for table in tables:
+        if id(table) in _PLACES:
+            own, place = _PLACES.pop(id(table))
+            _remove(own.sparkSession, place)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that no table has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def lower_ascii(text: Column) -> Column:
@@ -61,7 +86,6 @@ def hash_sample(df: DataFrame, rows: int, total: int, *columns: str) -> DataFram
     return near.orderBy(F.pmod(h, F.lit(1 << 40)), *columns).limit(rows)
 
 
-
 def doc_groups(batches: Iterable[pa.RecordBatch], text: str = "text", most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches that hold about ``most_chars`` characters each (one text may be longer), with their texts; null is empty."""
     for whole in batches:
@@ -148,11 +172,12 @@ def with_text_columns(docs: DataFrame, make: Callable[[], Callable[[list[str]],
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), fields])
     names = [*kept, *(f.split()[0] for f in fields.split(", "))]
+    body = unused("text_in", docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch, texts in doc_groups(batches, "_text_in"):
+        for batch, texts in doc_groups(batches, body):
             arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in compute(texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *arrays], names=names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("_text_in")).mapInArrow(work, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias(body)).mapInArrow(work, schema)

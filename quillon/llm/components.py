@@ -9,9 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import discard, written
 
 FILTER_BITS = 1 << 23
+#: Places among which the rows of one key are dealt.
+SPREAD = 8
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """The inner join on ``key``, which ``one`` holds once: each of its rows is dealt to ``SPREAD`` places, and the rows of ``many`` among them by a hash of ``by``, so that no key is hot."""
+    left = many.withColumn("spread", F.pmod(F.xxhash64(by), F.lit(SPREAD)))
+    right = one.withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return left.join(right, [key, "spread"]).drop("spread")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,12 +34,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        large = spread_join(both, least, "a", "b").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") / 2**32)).first()
-        if before is not None and state[0] == before[0] and abs((state[1] or 0) - (before[1] or 0)) < 1e-3:
+        small = spread_join(large, down, "a", "b").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        old, edges = edges, written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(old)
+        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
+        if state == before:
             break
         before = state
     else:
@@ -48,7 +58,7 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
     return out
 
 
-def may_hold(bitmap: np.ndarray, column: str) -> Column:
+def may_hold(bitmap: np.ndarray, column: Column | str) -> Column:
     bits = len(bitmap) * 64
 
     def test(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

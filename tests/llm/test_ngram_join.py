@@ -59,7 +59,7 @@ def corpus(seed, size):
 @pytest.mark.parametrize(("seed", "frequent"), [(1, 24), (2, 2)])
 def test_components_against_brute_force(spark, monkeypatch, seed, frequent):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "SMALL", seed)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5 * seed)
     rows = corpus(seed, 60)
     rows += [(9000, None, "x"), (9001, "", "x"), (9002, "  \n ", "x"), (9003, "a B", "x"), (9004, "A b", "x"), rows[0], (None, rows[1][1], "x"), (None, "alone without an id", None), (9005, "long " * 3000 + "text", "x")]
     got = ngram_components(spark.createDataFrame(rows, DOCS)).collect()
@@ -129,18 +129,36 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 300)) and got[501] == 500 == got[500]
 
 
-def test_blocks_give_every_likely_pair(spark, monkeypatch):
+def test_blocks_give_every_possible_pair(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     rng = np.random.default_rng(9)
     pool = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
     sets = [pool[rng.random(len(pool)) < 0.9] for _ in range(20)] + [pool[:30][rng.random(30) < 0.95] for _ in range(9)]
-    rows = [(1, 29, i, i % 25) for i in range(29)] + [(2, 4, i, i) for i in range(4)]
-    sketches = spark.createDataFrame([(i, len(s), bytearray(ngram_join.bitmap_of(s))) for i, s in enumerate(sets)], "k long, n long, bits binary")
-    got = {tuple(r) for r in ngram_join._paired(spark.createDataFrame(rows, "sig long, size long, k long, root long"), sketches, 75).collect()}
+    bits = [bytearray(ngram_join.bitmap_of(s)) for s in sets]
+    rows = [(1, i % 2, i, i % 25) for i in range(29)] + [(1, 1 - i % 2, i, i % 25) for i in range(29)] + [(2, 0, i, i) for i in range(4)]
+    nodes = spark.createDataFrame([(i, len(s), len(s), b, b) for i, (s, b) in enumerate(zip(sets, bits, strict=True))], "k long, n long, f long, whole binary, common binary")
+    got = [tuple(r) for r in ngram_join._apart(spark.createDataFrame(rows, "hub long, kind int, k long, root long"), nodes, 75).collect()]
+    assert len(got) == len(set(got)) and all(a < b and a % 25 != b % 25 for a, b in got)
     for i in range(29):
         for j in range(i + 1, 29):
             both = len(np.intersect1d(sets[i], sets[j]))
-            similar = 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
-            if similar and i % 25 != j % 25:
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and i % 25 != j % 25:
                 assert (i, j) in got
-    assert all(a < b for a, b in got)
+
+
+def test_frequent_tokens_bound_those_who_share_pairs_only(spark, monkeypatch):
+    """Documents of one passage and own words, which link or not by how many own words they have."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(i, " ".join([*passage, *(f"o{r.randrange(10**9)}" for _ in range(i % 40))]), "x") for i in range(120)]
+    rows += [(500 + i, " ".join([*(f"z{r.randrange(10**9)}" for _ in range(i)), *passage[i // 2 :]]), "x") for i in range(40)]
+    got = ngram_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows)
+
+
+def test_clashing_names_and_integer_ids(spark):
+    rows = [(1, "a b c d e f g", 1, 2, "k"), (2, "a b c d e f g", 3, 4, "m"), (None, "a b c d e f g", 5, 6, None), (3, None, 7, 8, "n")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, gone int, may int, _may string")
+    kept = without_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
