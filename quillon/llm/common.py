@@ -86,11 +86,11 @@ def hash_sample(df: DataFrame, rows: int, total: int, *columns: str) -> DataFram
     return near.orderBy(F.pmod(h, F.lit(1 << 40)), *columns).limit(rows)
 
 
-def doc_groups(batches: Iterable[pa.RecordBatch], text: str = "text", most_chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def doc_groups(batches: Iterable[pa.RecordBatch], text: str = "text", most_chars: int = 250_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches that hold about ``most_chars`` characters each (one text may be longer), with their texts; null is empty."""
     for whole in batches:
-        for first in range(0, whole.num_rows, 512):  # so that no whole batch of texts is held as strings
-            batch = whole.slice(first, 512)
+        for first in range(0, whole.num_rows, 64):  # so that no whole batch of texts is held as strings
+            batch = whole.slice(first, 64)
             texts = ["" if x is None else x for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             start = size = 0
             for i, x in enumerate(texts):

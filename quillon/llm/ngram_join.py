@@ -200,15 +200,19 @@ def bit_map(places: DataFrame, bits: int) -> np.ndarray:
 
 def _sets(docs: DataFrame, ends: DataFrame, n: int) -> DataFrame:
     """(k, tokens) of the nodes ``ends`` (k, doc_id of one of its documents). Only documents whose id a bounded map may hold are read again."""
-    chosen = docs.where(F.coalesce(may_hold(id_filter(ends, "doc_id"), "doc_id"), F.lit(True)))
+    bitmap = id_filter(ends, "doc_id")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * len(bitmap))).alias("place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for _, texts in doc_groups(batches):
-            sets = shingle_sets(texts, words, n)
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(fingerprint(s)) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k", "tokens"])
+        for batch in batches:
+            x = batch.column(0).to_numpy().astype(np.uint64)
+            chosen = batch.filter(pa.array((bitmap[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1))
+            for _, texts in doc_groups([chosen]):
+                sets = shingle_sets(texts, words, n)
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(fingerprint(s)) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k", "tokens"])
 
-    return chosen.mapInArrow(work, "k long, tokens array<long>").join(ends, "k", "left_semi").dropDuplicates(["k"])
+    return docs.select(place, "text").mapInArrow(work, "k long, tokens array<long>").join(ends, "k", "left_semi").dropDuplicates(["k"])
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

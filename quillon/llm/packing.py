@@ -7,6 +7,7 @@ plan covers any number of pieces; the pieces then look up their places in parall
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Ranks within a length are counted in so many parts, so that no length meets in one task.
 RANK_PARTS = 256
+#: Bounds of the search, the same for any number of pieces: fillings of a branch, steps to find them, branches after the first leaf.
+FILLINGS, STEPS, NODES = 4, 400, 1500
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -56,87 +59,67 @@ class Pattern:
     filling: tuple[tuple[int, int], ...]
 
 
-def fillings(counts: np.ndarray, room: int, most: int = 8, nodes: int = 400) -> list[tuple[tuple[int, int], ...]]:
-    """Undominated ways to fill ``room`` from the counted lengths, least waste first and then longest pieces first.
+def fillings(counts: np.ndarray, room: int, most: int = FILLINGS, steps: int = STEPS) -> list[tuple[tuple[int, int], ...]]:
+    """Undominated ways to fill ``room`` from the counted lengths, least waste first and then longest pieces first: (length, count) pairs.
 
     A filling is maximal, and it is dominated if one or two of its pieces can give way to one longer piece that is left over and still fits.
-    The search stops after ``nodes`` steps or at the first ``most`` fillings without waste.
+    A step decides how many pieces of one length go in. The search ends after so many steps or at the first ``most`` fillings without waste.
     """
-    lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1]]
-    if not lengths:
-        return [()]
-    found: dict[tuple[int, ...], int] = {}
-    left = {x: int(counts[x]) for x in lengths}
-    shortest = lengths[-1]
-    steps = 0
-
-    def extend(k: int, chosen: list[int], rest: int) -> bool:
-        nonlocal steps
-        steps += 1
-        while k < len(lengths) and (lengths[k] > rest or not left[lengths[k]]):
-            k += 1
-        if k == len(lengths):
-            if not any(x <= rest and left[x] for x in lengths):
-                found.setdefault(tuple(chosen), rest)
-            return steps > nodes or sum(not w for w in found.values()) >= most
-        for j in range(k, len(lengths)):
-            x = lengths[j]
-            if x > rest or not left[x]:
-                continue
-            left[x] -= 1
-            chosen.append(x)
-            done = extend(j, chosen, rest - x)
-            chosen.pop()
-            left[x] += 1
-            if done:
-                return True
-            if rest - x >= 0 and rest < shortest:
-                break
-        return False
-
-    extend(0, [], room)
-
-    def dominated(chosen: tuple[int, ...], waste: int) -> bool:
-        own = {x: chosen.count(x) for x in set(chosen)}
+    lengths = [int(x) for x in np.flatnonzero(counts[: room + 1])[::-1] if x]
+    below = [-x for x in lengths]
+    found: dict[tuple[tuple[int, int], ...], int] = {}
+    stack: list[tuple[int, tuple[tuple[int, int], ...], int]] = [(0, (), room)]
+    perfect = taken = 0
+    while stack and perfect < most and taken < steps:
+        k, chosen, rest = stack.pop()
+        taken += 1
+        k = max(k, bisect_left(below, -rest))
+        if k < len(lengths):
+            x = lengths[k]
+            for n in range(min(int(counts[x]), rest // x) + 1):  # the most pieces are tried first
+                stack.append((k + 1, (*chosen, (x, n)) if n else chosen, rest - n * x))
+            continue
+        used = dict(chosen)
+        if chosen not in found and not any(counts[x] > used.get(x, 0) for x in lengths[bisect_left(below, -rest) :]):
+            found[chosen] = rest
+            perfect += not rest
+
+    def dominated(chosen: tuple[tuple[int, int], ...], waste: int) -> bool:
+        own = dict(chosen)
         spare = np.array([x for x in lengths if counts[x] > own.get(x, 0)])
-        sums = {x for x in chosen} | {a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]}
-        return any(((spare > s) & (spare <= s + waste)).any() for s in sums) if waste and len(spare) else False
+        sums = {x for x in own} | {a + b for a in own for b in own if a < b} | {2 * a for a, n in chosen if n > 1}
+        return bool(waste and len(spare)) and any(((spare > s) & (spare <= s + waste)).any() for s in sums)
 
-    kept = [(w, tuple(-x for x in c)) for c, w in found.items() if not dominated(c, w)] or [(w, tuple(-x for x in c)) for c, w in found.items()]
-    out = []
-    for _, negative in sorted(kept)[:most]:
-        chosen = [-x for x in negative]
-        out.append(tuple((x, chosen.count(x)) for x in sorted(set(chosen), reverse=True)))
-    return out or [()]
+    kept = [(w, c) for c, w in found.items() if not dominated(c, w)] or [(w, c) for c, w in found.items()]
+    return [c for _, c in sorted(kept, key=lambda x: (x[0], [(-a, -n) for a, n in x[1]]))[:most]] or [()]
 
 
 def least_bins(counts: np.ndarray, capacity: int) -> int:
-    """A lower bound: by total length, and by pieces of which no two fit together with what the shorter ones must add."""
-    lengths = np.arange(len(counts))
-    best = -(-int((counts * lengths).sum()) // capacity)
-    for k in np.unique(np.concatenate([[0], np.flatnonzero(counts[: capacity // 2 + 1])])):
-        big, middle = counts[capacity - k + 1 :].sum(), lengths > capacity // 2
-        pairs = (counts * (middle & (lengths <= capacity - k))).sum()
-        small = (counts * lengths * ((lengths >= k) & ~middle)).sum() - (capacity * pairs - (counts * lengths * (middle & (lengths <= capacity - k))).sum())
-        best = max(best, int(big + pairs + max(0, -(-int(small) // capacity))))
-    return best
-
-
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 1500, exact_up_to: int = 200) -> list[Pattern]:
+    """A lower bound: by total length, and by pieces of which no two fit together with what the shorter ones must add, for every least length of those."""
+    n, total = np.cumsum(counts), np.cumsum(counts * np.arange(len(counts)))
+    half, k = capacity // 2, np.arange(capacity // 2 + 1)
+    big, middle = n[capacity] - n[capacity - k], n[capacity - k] - n[half]
+    free = capacity * middle - (total[capacity - k] - total[half])
+    small = total[half] - np.where(k > 0, total[k - 1], 0) - free
+    return int(max(-(-total[capacity] // capacity), (big + middle + np.maximum(0, -(-small // capacity))).max()))
+
+
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
     """Sequences for ``counts[length]`` pieces of each length, as patterns.
 
-    Depth first: the longest piece left gets each undominated filling in turn, best fit first, so that the first leaf is the best-fit
-    packing and later ones replace it as incumbent only with fewer sequences. A branch ends when the sequences so far and the lower bound
-    of the rest, that is its unavoidable waste, cannot beat the incumbent. Up to ``exact_up_to`` pieces one sequence is closed at a time;
-    beyond, a filling is repeated as often as the counts allow. After ``nodes`` branches the incumbent stands.
+    Depth first: the longest piece left gets each undominated filling in turn, best fit first, and a filling is used as often as the counts
+    allow or, as a second branch, once. So the first leaf is the best-fit packing, and later ones replace it as incumbent only with fewer
+    sequences. A branch ends when the sequences so far and the lower bound of the rest, that is its unavoidable waste, cannot beat the
+    incumbent; the search ends when the incumbent meets the lower bound, the tree is done, or ``nodes`` branches follow the first leaf.
     """
     counts = np.asarray(counts, np.int64).copy()
-    bound, single = least_bins(counts, capacity), counts.sum() <= exact_up_to
+    counts[0] = 0
+    bound = least_bins(counts, capacity)
     best: list[Pattern] = []
     best_bins = np.iinfo(np.int64).max
     stack: list[tuple[np.ndarray, tuple | None, int, Pattern | None]] = [(counts, None, 0, None)]
     seen = 0
-    while stack:
+    while stack and best_bins > bound and seen <= nodes:
         state, trail, used, pattern = stack.pop()
         trail = (trail, pattern) if pattern else trail
         longest = np.flatnonzero(state)
@@ -146,26 +129,25 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 15
                 while trail:
                     best.append(trail[1])
                     trail = trail[0]
-            if best_bins <= bound:
-                break
-            continue
-        if best and used + least_bins(state, capacity) >= best_bins:
             continue
-        seen += 1
-        if best and seen > nodes:
-            break
+        if best:
+            seen += 1
+            if used + least_bins(state, capacity) >= best_bins:
+                continue
         top = int(longest[-1])
         rest = state.copy()
         rest[top] -= 1
-        ways = fillings(rest, capacity - top, 8 if single else 2)
-        for way in reversed(ways):
+        children = []
+        for way in fillings(rest, capacity - top):
             filling = dict(way)
             filling[top] = filling.get(top, 0) + 1
-            times = 1 if single else max(1, min(int(state[x]) // n for x, n in filling.items()))
-            after = state.copy()
-            for x, n in filling.items():
-                after[x] -= n * times
-            stack.append((after, trail, used + times, Pattern(times, tuple(sorted(filling.items(), reverse=True)))))
+            often = min(int(state[x]) // n for x, n in filling.items())
+            for times in {often: 0, 1: 0}:
+                after = state.copy()
+                for x, n in filling.items():
+                    after[x] -= n * times
+                children.append((after, trail, used + times, Pattern(times, tuple(sorted(filling.items(), reverse=True)))))
+        stack += children[::-1]
     return best[::-1]
 
 

@@ -1,19 +1,22 @@
-"""SentencePiece encoding and decoding with shared prefixes.
+"""SentencePiece encoding and decoding by a Viterbi search with shared prefixes.
 
 Texts are cut into marked words (a run of word marks and what follows to the next). The distinct words of a batch are sorted, so they are
-the leaves of a trie in depth-first order, and a forward pass runs along it: at each position it holds the last piece of the best
-segmentation of the prefix up to there, and a word takes over the states of the prefix that it shares with the word before.
-
-The vocabulary file is of the merging kind, whose result is not the path of the highest score sum. The forward state is therefore decided
-by merges: exactly one piece that ends at a position can follow the state at its beginning, namely the one whose pair with that state's
-piece merging leaves as it is. So ids equal the library's.
+the leaves of a trie in depth-first order, and a forward pass runs along it: at each position it holds the best score of the prefix up to
+there and where its last piece begins, and a word takes over both for the prefix that it shares with the word before.
+
+The scores are log probabilities of the pieces. A file of the merging kind has ranks in their place, and by Zipf's law a piece's probability
+falls as its rank, so there a piece scores minus the logarithm of its rank. Merging itself, which is what the library does with such a file,
+is not the path of the highest score sum; under the rule "merges" the forward state is decided by it instead: exactly one piece that ends at
+a position can follow the state at its beginning, namely the one whose pair with that state's piece merging leaves as it is. Then ids equal
+the library's.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -24,13 +27,21 @@ from pyspark.sql import DataFrame
 from quillon.llm.common import with_text_columns
 
 MODEL, MARK = "piece_bpe_32k.model", "▁"
+#: By how much a character that is no piece scores less than the worst piece.
+UNKNOWN = 10.0
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class PieceEncoder:
-    """Ids by marked word, and texts by ids. At most ``most`` words are remembered between batches."""
+    """Ids by marked word, and texts by ids. At most ``most`` words are remembered between batches.
+
+    ``scores`` gives log probabilities of pieces; without it they come from the file. A character that is no piece is spelled in bytes and
+    scores ``UNKNOWN`` less than the worst piece. Of equal paths the one whose last piece is longer wins, at every position.
+    """
 
-    def __init__(self, path: str = "", most: int = 300_000):
+    def __init__(self, path: str = "", most: int = 200_000, rule: str = "scores", scores: Mapping[str, float] | None = None):
+        if rule not in ("scores", "merges"):
+            raise ValueError(f"no such rule: {rule}")
         model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
@@ -40,6 +51,12 @@ class PieceEncoder:
         self.id_of = {p: i for i, p in enumerate(self.pieces) if i not in self.odd and not model.is_byte(i)}
         self.rank = {p: -model.get_score(i) for p, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
+        own = {p: model.get_score(i) for p, i in self.id_of.items()}
+        if all(v == int(v) for v in own.values()):  # ranks
+            own = {p: -math.log(1 - v) for p, v in own.items()}
+        self.score = own if scores is None else dict(scores)
+        self.unknown = min(self.score.values()) - UNKNOWN
+        self.walk = self.best_paths if rule == "scores" else self.merge_paths
         self.raw = [b"" if i in self.odd else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.pairs: dict[str, dict[str, bool]] = {}
         self.held = 0
@@ -70,8 +87,36 @@ class PieceEncoder:
         known = self.whole[piece] = len(piece) == 1 or (piece in self.id_of and self.merged(piece) == [piece])
         return known
 
-    def walk(self, words: Sequence[str]) -> list[list[int]]:
-        """Ids of sorted words: states[i] is the last piece of the first i characters; those of a shared prefix are kept."""
+    def best_paths(self, words: Sequence[str]) -> list[list[int]]:
+        """Ids of sorted words by the highest sum of scores: best[i] is that of the first i characters, back[i] where their last piece begins; those of a shared prefix are kept."""
+        best, back, out, before, longest, score, unknown = [0.0], [0], [], "", self.longest, self.score.get, self.unknown
+        for word in words:
+            shared, limit = 0, min(len(word), len(before), len(best) - 1)
+            while shared < limit and word[shared] == before[shared]:
+                shared += 1
+            del best[shared + 1 :], back[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                at = end - 1
+                top = best[at] + score(word[at], unknown)
+                for start in range(at - 1, (end - longest if end > longest else 0) - 1, -1):
+                    s = score(word[start:end])
+                    if s is not None and best[start] + s >= top:
+                        top, at = best[start] + s, start
+                best.append(top)
+                back.append(at)
+            ids: list[int] = []
+            end = len(word)
+            while end:
+                piece = word[back[end] : end]
+                own = self.id_of.get(piece)
+                ids += [own] if own is not None else [self.bytes[b] for b in reversed(piece.encode("utf-8", "replace"))]
+                end = back[end]
+            out.append(ids[::-1])
+            before = word
+        return out
+
+    def merge_paths(self, words: Sequence[str]) -> list[list[int]]:
+        """Ids of sorted words by merging: states[i] is the last piece of the first i characters; those of a shared prefix are kept."""
         states: list[str] = [""]
         out, before, longest, whole, pairs, none = [], "", self.longest, self.whole.get, self.pairs.get, {}
         for word in words:
@@ -124,7 +169,7 @@ class PieceEncoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def encode_documents(docs: DataFrame, path: str = "", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = "", text: str = "text", keep: list[str] | None = None, rule: str = "scores") -> DataFrame:
     """The kept columns and piece_ids (array of int), n_pieces and ids_crc32 of every whole text. One pass, no shuffle.
 
     Null and empty texts have no pieces; repeated rows get equal ids; kept columns of the new names are replaced; an empty table gives an
@@ -132,7 +177,7 @@ def encode_documents(docs: DataFrame, path: str = "", text: str = "text", keep:
     """
 
     def make() -> Callable[[list[str]], list]:
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder(path, rule=rule)
 
         def compute(texts: list[str]) -> list:
             ids = encoder.encode(texts)
@@ -143,11 +188,11 @@ def encode_documents(docs: DataFrame, path: str = "", text: str = "text", keep:
     return with_text_columns(docs, make, "piece_ids array<int>, n_pieces bigint, ids_crc32 bigint", text, keep)
 
 
-def round_trips(docs: DataFrame, path: str = "", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def round_trips(docs: DataFrame, path: str = "", text: str = "text", keep: list[str] | None = None, rule: str = "scores") -> DataFrame:
     """The kept columns, n_pieces, ids_crc32 and exact: whether the decoded ids are the text again."""
 
     def make() -> Callable[[list[str]], list]:
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder(path, rule=rule)
 
         def compute(texts: list[str]) -> list:
             ids = encoder.encode(texts)

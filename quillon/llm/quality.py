@@ -44,7 +44,7 @@ def distinct_share(at: np.ndarray) -> float:
 class WordShapes:
     """Per distinct word its shape's hash and some counts."""
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillon.llm.common import unused
+
 #: Kind -> (pattern, group whose length is tested, its least length). All groups but group 1 of a pattern with a tested group 2 are non-capturing.
 BASE = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -105,9 +107,10 @@ def kept_spans(rows: DataFrame, scope: int) -> DataFrame:
     return kept.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("all"))
 
 
-def key_of(doc_id: str) -> Column:
-    """Copies of a text under other ids have other keys, so they spread."""
-    return F.sha2(F.concat_ws(":", F.col(f"`{doc_id}`").cast("string"), F.col("_text")), 256)
+def key_of(doc_id: str, text: str = "_text") -> Column:
+    """Copies of a text under other ids have other keys, so they spread. The id's length, or a mark for null, keeps id and text apart."""
+    i = F.col(f"`{doc_id}`").cast("string")
+    return F.sha2(F.concat(F.coalesce(F.concat(F.length(i).cast("string"), F.lit(":"), i), F.lit("-")), F.col(text)), 256)
 
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -138,11 +141,12 @@ def mask_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
 
     Texts in which nothing can be found, null and empty ones among them, pass straight through; only the others are shuffled.
     """
-    body = F.col(f"`{text}`")
+    body, own, key, spans = F.col(f"`{text}`"), unused("text", docs), unused("key", docs), unused("spans", docs)
     some = has_some(body)
-    rows = docs.where(some).withColumn("_text", body).withColumn("_key", key_of(doc_id))
-    by_text = kept_spans(rows.select("_key", "_text"), scope)
+    rows = docs.where(some).withColumn(own, body).withColumn(key, key_of(doc_id, own))
+    by_text = kept_spans(rows.select(F.col(key).alias("_key"), F.col(own).alias("_text")), scope).toDF(key, spans)
     blank = lambda s: F.repeat(F.lit(mask), (s["end"] - s["start"]).cast("int"))
     masked = lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"].cast("int")), blank(s), F.substring(acc, s["end"].cast("int") + 1, F.length(acc)))
-    out = rows.join(by_text, "_key", "left").withColumn(text, F.when(F.col("all").isNull(), body).otherwise(F.aggregate("all", body, masked)))
-    return docs.where(~some).unionByName(out.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    new = F.when(F.col(spans).isNull(), body).otherwise(F.aggregate(spans, body, masked)).alias(text)
+    out = rows.join(by_text, key, "left").select(*(new if c == text else F.col(f"`{c}`") for c in docs.columns))
+    return docs.where(~some).unionByName(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from functools import cached_property
 
@@ -13,6 +14,8 @@ from tokenizers import Tokenizer
 
 BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_TEXT = "<|endoftext|>"
+#: Very long runs of white space (Unicode's), for which the rank file's splitting pattern needs a stack that grows with the run.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 class ByteBpe:
@@ -36,4 +39,12 @@ class ByteBpe:
         """Unsigned 32-bit ids of one text."""
         if END_TEXT in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(array("I", self.core.encode_ordinary(text)), np.uint32)
+        if not LONG_SPACE.search(text):
+            return np.frombuffer(array("I", self.core.encode_ordinary(text)), np.uint32)
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text):  # all but the last character of a run is one word of the pattern; that one belongs to what follows
+            end = run.end() - (run.end() < len(text))
+            out += self.core.encode_ordinary(text[at : run.start()])
+            out += self.core._encode_single_piece(text[run.start() : end].encode())
+            at = end
+        return np.array(out + self.core.encode_ordinary(text[at:]), np.uint32)

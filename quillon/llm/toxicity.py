@@ -42,51 +42,40 @@ def bare(word: str) -> str:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Column], most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[DataFrame, dict[int, int]]:
-    """(toxic, text) of at most so many labelled documents of either kind, by hash order of the id, and how many labels there are of each."""
+    """(toxic, text) of at most so many labelled documents of either kind, by hash order of the id, and how many labels there are of each.
+
+    Equal texts are one row, toxic if any of them is.
+    """
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & use(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     part = lambda t, n: rows.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(part(1, most_toxic).unionByName(part(0, most_clean)))  # bounded by the two limits
-    return written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("toxic", "text").dropDuplicates(["text"]), "toxic-sample"), total
+    return written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text"), "toxic-sample"), total
 
 
 def learned_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Words and beginnings of words that mark toxic texts, with their log odds; at most ``LEXICON_SIZE``."""
+    """Words and beginnings of words that mark toxic texts, with their log odds; only the ``LEXICON_SIZE`` best reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for batch, texts in doc_groups(batches):
-            for toxic, x in zip(batch.column(0).to_pylist(), texts, strict=True):
-                seen[toxic].update({t for w in {bare(w) for w in x.split()} if w for t in terms_of(w)})
-        terms = [t for t in seen[1] if len(t) > 1]  # a term of clean texts alone is never chosen
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64())], names=["term", "toxic"])
-
-    found = sample.mapInArrow(count, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_DOCS)
-    # of these the clean counts; the list of candidate terms is bounded by the sample
-    words = sorted(r["term"] for r in found.orderBy(F.desc("toxic"), "term").limit(50_000).collect())
-    wanted = frozenset(words)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = (Counter(), Counter()), [0, 0]
         for batch, texts in doc_groups(batches):
             for toxic, x in zip(batch.column(0).to_pylist(), texts, strict=True):
                 n[toxic] += 1
-                seen[toxic].update({t for w in {bare(w) for w in x.split()} if w for t in terms_of(w) if t in wanted})
-        rows = [("", n[1], n[0]), *((t, seen[1][t], seen[0][t]) for t in {*seen[0], *seen[1]})]
-        columns = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["term", "toxic", "clean"])
+                seen[toxic].update({t for w in {bare(w) for w in x.split()} if w for t in terms_of(w)})
+        terms = [t for t in {*seen[0], *seen[1]} if len(t) > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(["", *terms], pa.string()), pa.array([n[1], *(seen[1][t] for t in terms)], pa.int64()), pa.array([n[0], *(seen[0][t] for t in terms)], pa.int64())], names=["term", "toxic", "clean"])
 
-    counts = {r["term"]: (r["toxic"], r["clean"]) for r in sample.mapInArrow(clean, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()}
-    toxic, fine = counts.pop("", (0, 0))
-    odds = {t: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (fine + 1)) for t, (a, b) in counts.items()}
-    best = sorted((t for t in odds if odds[t] >= LEAST_LOG_ODDS), key=lambda t: (-counts[t][0] * odds[t], t))
-    return {t: odds[t] for t in best[:LEXICON_SIZE]}
+    counts = written(sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= LEAST_DOCS) | (F.col("term") == "")), "toxic-terms")
+    total = counts.where(F.col("term") == "").first()
+    odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (total["clean"] + 1))
+    best = counts.where(F.col("term") != "").withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(LEXICON_SIZE)
+    return {r["term"]: r["odds"] for r in best.collect()}
 
 
 class WordFeatures:
     """Per word the numbers that a text's features are sums of; distinct words are looked at once."""
 
-    most = 400_000
+    most = 200_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.index, self.used = lexicon, {}, 0
@@ -158,16 +147,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Callable[[Column], Col
     """A model from the labels that ``use`` admits. Only (toxic, text) of a bounded sample is read, and its features, some numbers a text, reach the driver.
 
     Calibration is fitted on scores of trees that have not seen the rows, with the weights of the whole label table. With labels of one
-    kind or none the score is constant: the smoothed share of toxic labels.
+    kind or none the score is constant: the share of toxic labels, smoothed by one more label that is toxic by a twentieth.
     """
     sample, total = labelled_sample(docs, labels, use, most_toxic, most_clean)
-    prior = (total.get(1, 0) + 0.5) / (sum(total.values()) + 1)
+    prior = (total.get(1, 0) + 0.05) / (sum(total.values()) + 1)
     if not (total.get(0) and total.get(1)):
-        return ToxicityModel({}, None, (np.zeros(1), np.zeros(1)), min(prior, 0.29))
+        return ToxicityModel({}, None, (np.zeros(1), np.zeros(1)), prior)
     lexicon = learned_lexicon(sample)
     rows = with_text_columns(sample, lambda: lambda texts, w=WordFeatures(lexicon): [pa.array(list(w.matrix(texts)), pa.list_(pa.float64()))], "features array<double>", keep=["toxic"]).collect()
     if len({r["toxic"] for r in rows}) < 2:
-        return ToxicityModel({}, None, (np.zeros(1), np.zeros(1)), min(prior, 0.29))
+        return ToxicityModel({}, None, (np.zeros(1), np.zeros(1)), prior)
     rows.sort(key=lambda r: (r["toxic"], r["features"]))
     x, y = np.array([r["features"] for r in rows]), np.array([r["toxic"] for r in rows], float)
     share = np.where(y == 1, total[1] / y.sum(), total[0] / (1 - y).sum())

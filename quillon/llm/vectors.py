@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql.window import Window as W
 
 #: Rows of a shard and queries of a block at most, about; both are packed into one row each, so the sizes bound a task's memory.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Query blocks for which a shard's row is sent once.
+TASK_BLOCKS = 32
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", zero: bool = True) -> DataFrame:
@@ -41,22 +45,29 @@ def packed(rows: DataFrame, group: Column, build: Callable[[np.ndarray, np.ndarr
     return rows.select("vec_id", "v", group.cast("long").alias("part")).repartition(max(1, groups), "part").groupBy("part").applyInArrow(work, "part long, blob binary")
 
 
-def searched(index: DataFrame, blocks: DataFrame, find: Callable[[bytes, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, n_blocks: int, score: str) -> DataFrame:
+def searched(index: DataFrame, blocks: DataFrame, find: Callable[[Any, bytes], tuple[np.ndarray, np.ndarray, np.ndarray]], shards: int, n_blocks: int, score: str) -> DataFrame:
     """Rows (query_id, vec_id, score) that ``find`` makes of every query block and every shard, a stated query set against all rows.
 
-    The packed rows of both sides meet by an equi-join on (shard, block): a task holds one shard and one block at a time.
+    A shard's row is dealt once for every ``TASK_BLOCKS`` query blocks. It comes first in its group of a task, is unpacked once and kept
+    while the group's query blocks pass by one at a time.
     """
-    left = index.select(F.col("part").alias("shard"), F.col("blob").alias("ix"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    right = blocks.select(F.col("part").alias("block"), F.col("blob").alias("qs"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    both = left.join(right.hint("shuffle_merge"), ["shard", "block"]).select("ix", "qs")
+    copies = max(1, -(-n_blocks // TASK_BLOCKS))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = index.select(F.col("part").alias("shard"), every(copies).alias("copy"), F.lit(-1).cast("long").alias("block"), "blob")
+    right = blocks.select(every(shards).alias("shard"), F.pmod("part", F.lit(copies)).cast("long").alias("copy"), F.col("part").alias("block"), "blob")
+    dealt = left.unionByName(right).repartition(shards * copies, "shard", "copy").sortWithinPartitions("shard", "copy", "block")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, graph = None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                q, v, s = find(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    return both.mapInArrow(work, f"query_id long, vec_id long, score {score}")
+            for shard, copy, block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if block < 0:
+                    own, graph = (shard, copy), pickle.loads(blob.as_buffer())
+                elif own == (shard, copy):  # a shard without rows has no index
+                    q, v, s = find(graph, blob.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(work, f"query_id long, vec_id long, score {score}")
 
 
 def best(found: DataFrame, k: int, order: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.llm.attention import END, IDS, Attention, vocabulary, windows
 from quillon.llm.common import crc_mod
 from quillon.llm.lm import score_language
-from quillon.llm.toxicity import fit_toxicity, score_toxicity
+from quillon.llm.toxicity import fit_toxicity, labelled_sample, score_toxicity
 from quillon.llm.trees import BoostedTrees, isotonic
 
 DOCS = "doc_id long, text string, score string"
@@ -146,3 +146,12 @@ def test_toxic_texts_are_found_and_odd_ones_scored(spark):
     bare = fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in score_toxicity(docs, bare).select("predicted").distinct().collect()} == {0}
     assert score_toxicity(docs.where(F.lit(False)), model).count() == 0
+    toxic = fit_toxicity(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"))
+    assert {r["predicted"] for r in score_toxicity(docs, toxic).select("predicted").distinct().collect()} == {1}
+
+
+def test_equal_texts_with_different_labels_are_one_toxic_row(spark):
+    docs = spark.createDataFrame([(i, f"text {i // 2}", "x") for i in range(8)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    sample, total = labelled_sample(docs, labels, lambda i: F.lit(True))
+    assert sorted(map(tuple, sample.collect())) == [(1, f"text {i}") for i in range(4)] and total == {0: 4, 1: 4}

@@ -22,19 +22,50 @@ def test_ids_are_the_librarys_and_come_back(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
     rows = [(i, t, "old") for i, t in enumerate(TEXTS)] + [(None, "no id", None), (0, TEXTS[0], "old")]
     docs = spark.createDataFrame(rows, DOCS)
-    got = encode_documents(docs).collect()
+    got = encode_documents(docs, rule="merges").collect()
     assert len(got) == len(rows)
     for r in got:
         want = library.encode(r["text"] or "")
         assert r["piece_ids"] == want and r["n_pieces"] == len(want) and r["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
-    assert all(r["exact"] for r in round_trips(docs, keep=["doc_id"]).collect())
+    for rule in ("scores", "merges"):
+        assert all(r["exact"] for r in round_trips(docs, keep=["doc_id"], rule=rule).collect())
     assert encode_documents(docs.where(F.lit(False))).count() == 0
 
 
 def test_shared_prefixes_change_nothing():
     words = sorted({"▁the", "▁then", "▁thereby", "▁therefore", "▁thin", "a", "ab", "abc", "▁▁▁x", "▁é", "▁éa", "▁zzzzzz"})
-    together = PieceEncoder().walk(words)
-    assert together == [PieceEncoder().walk([w])[0] for w in words]
+    for rule in ("scores", "merges"):
+        assert PieceEncoder(rule=rule).walk(words) == [PieceEncoder(rule=rule).walk([w])[0] for w in words]
+
+
+def test_best_paths_against_all_segmentations():
+    encoder = PieceEncoder()
+    piece_of = {i: p for p, i in encoder.id_of.items()}
+
+    def cuts(word):
+        yield from [[word], *([word[:i], *rest] for i in range(1, len(word)) for rest in cuts(word[i:]))]
+
+    total = lambda parts: sum(encoder.score.get(p, encoder.unknown) for p in parts)
+    words = sorted({"▁the", "▁theory", "▁thermos", "▁unbeliev", "naïvety", "▁▁▁x", "▁q\u0e01z", "zzzzzzz", "▁is", "▁island"})
+    for word, ids in zip(words, encoder.walk(words), strict=True):
+        best = max(total(c) for c in cuts(word) if all(len(p) == 1 or p in encoder.score for p in c))
+        got, at = 0.0, 0
+        while at < len(ids):  # bytes spell one character
+            if ids[at] in piece_of:
+                got, at = got + encoder.score[piece_of[ids[at]]], at + 1
+            else:
+                raw = bytes([encoder.byte_of[ids[at]]])
+                while not raw.decode("utf-8", "ignore"):
+                    at += 1
+                    raw += bytes([encoder.byte_of[ids[at]]])
+                got, at = got + encoder.unknown, at + 1
+        assert got == pytest.approx(best, abs=1e-9), word
+
+
+def test_given_scores_decide_the_path():
+    scores = {"▁": -3.0, "a": -3.0, "b": -3.0, "▁a": -1.0, "ab": -1.5, "▁ab": -9.0}
+    encoder = PieceEncoder(scores=scores)
+    assert encoder.walk(["▁ab"]) == [[encoder.id_of["▁a"], encoder.id_of["b"]]]
 
 
 def test_accuracies_are_recovered():
@@ -106,3 +137,19 @@ def test_the_pipeline_stage_by_stage(spark, tmp_path):
         sequences[r["sequence_id"]] += r["length"]
     assert sum(sequences.values()) == total and max(sequences.values()) <= 1024 and len(sequences) <= -(-total // 1024) * 1.02 + 1
     assert pq.read_schema(next((tmp_path / "0").glob("*.parquet"))).names == columns
+
+
+def test_names_that_stages_use_are_left_alone(spark):
+    rows = [(1, "token=abcdef0 and more", "a", "b", "c", "d"), (2, None, "a", "b", "c", "d"), (None, "", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_in string, `_text_in` string, `all` string, score string")
+    out = score_quality(docs, fit_quality(docs)).collect()
+    assert sorted((r["doc_id"], r["text_in"], r["_text_in"], r["all"]) for r in out if r["doc_id"]) == [(1, "a", "b", "c"), (2, "a", "b", "c")] and len(out) == 3
+
+
+def test_the_pipeline_on_nothing_and_on_nulls(spark):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, `all` string, `_text` string"
+    for rows in ([], [(1, None, None, None, None, None, None), (None, "", "x", None, 0, "x", "y"), (None, None, None, None, None, None, None)]):
+        docs = spark.createDataFrame(rows, kinds)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = spark.createDataFrame(stage(spark, docs, "/root/testdata/sf0.001").collect(), schema=stage(spark, docs, "/root/testdata/sf0.001").schema)
+            assert i == 4 or docs.columns == list(corpus_pipeline.COLUMNS)

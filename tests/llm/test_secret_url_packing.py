@@ -194,3 +194,40 @@ def test_groups_of_texts_keep_all_rows():
     parts = list(doc_groups([batch], most_chars=10))
     assert [x for _, t in parts for x in t] == ["a" * 5, "", "b" * 30, "", "c", "d" * 9, "e"]
     assert sum(b.num_rows for b, _ in parts) == 7
+
+
+def test_packing_of_nothing_but_short_pieces_and_its_bound():
+    counts = np.zeros(1025, np.int64)
+    counts[1] = 3000
+    assert sum(p.times for p in bin_completion(counts)) == 3
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(1, 1025, 20000), np.minimum(1024, rng.lognormal(5.5, 1, 20000).astype(int) + 1)):
+        counts = np.bincount(lengths, minlength=1025)
+        plan, used = bin_completion(counts), np.zeros(1025, np.int64)
+        for p in plan:
+            assert sum(x * n for x, n in p.filling) <= 1024
+            for x, n in p.filling:
+                used[x] += n * p.times
+        assert (used == counts).all() and sum(p.times for p in plan) <= 1.002 * least_bins(counts, 1024) + 1
+
+
+def test_mostly_empty_texts_and_long_white_space_are_packed(spark):
+    rows = [(i, "", "n") for i in range(3000)] + [(9000, "a" + " " * 1_000_000 + "b", "n"), (9001, "\n" * 1_000_000, "n")]
+    got = pack_documents(spark.createDataFrame(rows, DOCS)).collect()
+    assert len({r["doc_id"] for r in got}) == 3002 and sum(r["length"] for r in got if r["doc_id"] < 3000) == 3000
+
+
+def test_long_white_space_has_the_tokenizers_ids():
+    bpe = ByteBpe()
+    for x in ("a" + " " * 5000 + "b", " " * 6000, "x" + "\n" * 7000 + "y z", " \n" * 3000 + " word", "\t" * 4096 + "\u3000 x", "k" + " " * 4097 + "\n", "a" + "\u2003" * 5000 + "!"):
+        assert bpe.ids(x).tolist() == bpe.tokenizer.encode(x, add_special_tokens=False).ids
+
+
+def test_rows_without_an_id_and_clashing_names(spark):
+    rows = [(None, "5:token=abcdef", "x", "k", "s"), (5, "token=abcdef", "y", None, "t"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `all` string, `_key` string, `_text` string")
+    got = {r["doc_id"]: r for r in scan_secrets(docs.where("text is not null")).collect()}
+    assert got[5]["spans"] == "assign:0:12" and got[None]["spans"] == "assign:2:14"
+    out = mask_secrets(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, "5:************", "x", "k", "s"), (5, "*" * 12, "y", None, "t"), rows[2]], key=str)

@@ -70,3 +70,45 @@ def test_small_graphs_find_everything():
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_top_k(empty).count() == 0 and nearest_neighbours(empty).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["clusters", "few clusters", "near copies", "spread"])
+def test_recall_on_clustered_near_and_spread_vectors(kind):
+    rng = np.random.default_rng(11)
+    many, each, noise = {"clusters": (40, 60, 0.05), "few clusters": (6, 400, 0.05), "near copies": (3, 800, 1e-4), "spread": (2400, 1, 0.0)}[kind]
+    x = np.repeat(rng.standard_normal((many, 64)), each, 0) + rng.standard_normal((many * each, 64)) * noise
+    graph = build(np.arange(len(x)), x)
+    asked = np.arange(0, len(x), 40)
+    found, _ = search(graph, x[asked])
+    hits = []
+    for q, f in zip(asked, found, strict=True):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(set(np.argsort(d, kind="stable")[:10]) & set(f[f != q][:10])) / 10)
+    assert np.mean(hits) >= 0.97 and min(hits) >= 0.7
+
+
+def test_every_node_is_reached_from_the_first():
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.standard_normal((30, 8)) * 100, 90, 0) + rng.standard_normal((2700, 8))
+    graph = build(np.arange(len(x)), x, width=4)
+    links, seen, new = graph.levels[0], set(), [int(graph.top[0])]
+    while new:
+        seen.update(new)
+        new = list({int(j) for i in new for j in links[i] if j >= 0} - seen)
+    assert len(seen) == len(x)
+
+
+def test_scores_beyond_double_precision_are_refused(spark):
+    with pytest.raises(ValueError, match="2\\*\\*53"):
+        exact_top_k(spark.createDataFrame([(0, [2.0e6, 1.0], "x"), (1, [1.0, 1.0], "x")], SCHEMA))
+
+
+def test_a_shard_is_kept_for_its_blocks(spark, monkeypatch):
+    from quillon.llm import vectors
+
+    monkeypatch.setattr(vectors, "TASK_BLOCKS", 2)
+    rows, _ = rows_of(150, 6)
+    got = exact_top_k(spark.createDataFrame(rows, SCHEMA), queries_every=10, k=5, shard_rows=40, block_queries=2).collect()
+    want = top([(i, np.floor(64 * np.array(v, np.float32).astype(float)), n) for i, v, n in rows], 10, 5, lambda x, q: x @ q, True)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((a, b, c, int(d)) for a, b, c, d in want)
