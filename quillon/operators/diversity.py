@@ -43,8 +43,12 @@ def mmr(hits: DataFrame, weight: float = 0.5, norm_rel: bool = False, norm_sim:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(first, kind="stable").reset_index(drop=True)
         v = np.array(pdf["doc_vec"].tolist(), np.float64)
-        n = np.sqrt(np.cumsum(v * v, 1)[:, -1])
-        sims = np.cumsum(v[:, None] * v[None], 2)[..., -1] / np.where(n > 0, n, np.inf)[:, None] / np.where(n > 0, n, np.inf)[None]
+        n, sims = np.zeros(len(v)), np.zeros((len(v), len(v)))
+        for x in v.T:  # summed from the left, one component at a time: no array of all components of all pairs
+            n += x * x
+            sims += x[:, None] * x
+        n = np.sqrt(n)
+        sims = sims / np.where(n > 0, n, np.inf)[:, None] / np.where(n > 0, n, np.inf)[None]
         out = pdf.loc[mmr_order(pdf["score"].to_numpy(float), sims, weight, norm_rel, norm_sim), keep]
         return out.assign(score=0.0 - np.arange(len(out), dtype=float), rank=np.arange(len(out), dtype=np.int32))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -34,6 +35,32 @@ def _encoded(rows: DataFrame, text: str, name: str, encode: Callable[[list[str]]
     return rows.mapInPandas(work, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), f"{name} array<float>"]))
 
 
+@dataclass(frozen=True)
+class Options:
+    """An encoder with prompts before its texts, vectors scaled to length 1 (zero ones stay), and a space before texts that begin with http."""
+
+    model: Encoder
+    query_prompt: str = ""
+    doc_prompt: str = ""
+    normalise: bool = False
+    guard_urls: bool = False
+
+    @property
+    def sim(self) -> str:
+        return self.model.sim
+
+    def _run(self, encode: Callable[[list[str]], np.ndarray], prompt: str, texts: list[str]) -> np.ndarray:
+        texts = [prompt + (" " + x if self.guard_urls and x.startswith("http") else x) for x in texts]
+        v = np.asarray(encode(texts), np.float64)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) if self.normalise and len(v) else v
+
+    def encode_queries(self, texts: list[str]) -> np.ndarray:
+        return self._run(self.model.encode_queries, self.query_prompt, texts)
+
+    def encode_docs(self, texts: list[str]) -> np.ndarray:
+        return self._run(self.model.encode_docs, self.doc_prompt, texts)
+
+
 def encode_queries(queries: DataFrame, model: Encoder, batch_size: int = 32) -> DataFrame:
     """Queries with query_vec. Each distinct text is encoded once."""
     distinct = queries.select("query").distinct()

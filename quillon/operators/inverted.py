@@ -14,6 +14,10 @@ from quillon.operators.blocks import folded
 from quillon.operators.ranking import top_k
 
 
+#: Places among which the documents of a list are dealt.
+PLACES = 8
+
+
 def list_count(n: int) -> int:
     """The root of n, rounded up to a power of two; 4 at least."""
     return max(4, 1 << max(0, int(np.ceil(np.log2(max(1, n) ** 0.5)))))
@@ -57,5 +61,8 @@ def inverted_search(queries: DataFrame, vectors: DataFrame, centroids: np.ndarra
     """(qid, docid, score, rank) of the k best documents of the lists that each query probes; fewer where these hold fewer."""
     lists = assigned(vectors, "doc_vec", centroids, ["docid", "doc_vec"]) if lists is None else lists
     probed = assigned(queries, "query_vec", centroids, ["qid", "query_vec"], probes=n_probe)
-    found = probed.join(lists, "list").withColumn("score", similarity(sim)("query_vec", "doc_vec")).where(F.col("score").isNotNull())
+    # a list's documents are dealt among places, to each of which its queries go: no list is one task
+    dealt = lists.withColumn("place", F.pmod(F.xxhash64("docid"), F.lit(PLACES)).cast("int"))
+    asked = probed.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+    found = asked.join(dealt, ["list", "place"]).withColumn("score", similarity(sim)("query_vec", "doc_vec")).where(F.col("score").isNotNull())
     return top_k(found.select("qid", "docid", "score"), k)

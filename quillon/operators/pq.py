@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vec import doubles, times_matrix
-from quillon.operators.blocks import block_top_k, folded
+from quillon.operators.blocks import block_top_k, folded, packed
 from quillon.operators.ranking import top_k
 
 
@@ -22,15 +23,23 @@ def first_codebook(vectors: DataFrame, parts: int, codes: int) -> np.ndarray:
     return v.reshape(len(v), parts, -1).transpose(1, 0, 2).copy()
 
 
+def sampled_codebook(vectors: DataFrame, parts: int, codes: int, seed: int = 42) -> np.ndarray:
+    """[parts, codes, width]: the sub-vectors of the first documents by a hash of docid and seed, a sample of the whole table."""
+    chosen = vectors.orderBy(F.xxhash64("docid", F.lit(seed)), "docid").limit(codes).select(F.monotonically_increasing_id().alias("docid"), "doc_vec")
+    return first_codebook(chosen, parts, codes)
+
+
 def nearest_codes(x: np.ndarray, book: np.ndarray, assign: str) -> np.ndarray:
     """[rows, parts]: per part the code of the smallest distance ("l2") or the largest inner product ("ip"), the first of equals."""
     if assign not in ("l2", "ip"):
         raise ValueError("assign is l2 or ip")
     parts = x.reshape(len(x), len(book), -1)
     out = np.empty(parts.shape[:2], np.int64)
+    step = max(1, 4_000_000 // max(1, book[0].size))  # rows whose differences from all codes are held at a time
     for m, centroids in enumerate(book):
-        a, b = parts[:, m, None], centroids[None]
-        out[:, m] = folded(a - b, a - b).argmin(1) if assign == "l2" else folded(a, b).argmax(1)
+        for at in range(0, len(x), step):
+            a, b = parts[at : at + step, m, None], centroids[None]
+            out[at : at + step, m] = folded(a - b, a - b).argmin(1) if assign == "l2" else folded(a, b).argmax(1)
     return out
 
 
@@ -62,16 +71,33 @@ def trained(vectors: DataFrame, parts: int, codes: int, rounds: int = 10, rotati
     book = first_codebook(vectors, parts, codes) if start is None else start.copy()
     if rotation is not None and start is None:
         book = (book.transpose(1, 0, 2).reshape(book.shape[1], -1) @ rotation).reshape(book.shape[1], parts, -1).transpose(1, 0, 2).copy()
-    width = book.shape[2]
-    v = doubles("doc_vec") if rotation is None else times_matrix("doc_vec", rotation.tolist())
     for _ in range(rounds):
-        coded = encoded(vectors, book, "l2", rotation).select("docid", "codes").join(vectors.select("docid", v.alias("v")), "docid")
-        cells = coded.select("codes", F.posexplode("v").alias("i", "x")).select(F.floor(F.col("i") / width).cast("int").alias("m"), (F.col("i") % width).alias("j"), "x", F.element_at("codes", F.floor(F.col("i") / width).cast("int") + 1).alias("code"))
-        for r in cells.groupBy("m", "code", "j").agg(F.avg("x").alias("x")).collect():
-            book[r["m"], r["code"], r["j"]] = r["x"]
+        for r in code_sums(vectors, book, rotation).collect():  # parts * codes * width rows at most
+            at = np.unravel_index(r["at"], book.shape)
+            book[at] = r["x"] / r["n"]
     return book
 
 
+def code_sums(vectors: DataFrame, book: np.ndarray, rotation: np.ndarray | None = None) -> DataFrame:
+    """(at, x, n): the sum of each codebook cell's sub-vector components and how many there are, added up within tasks first."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros(book.shape), np.zeros(book.shape[:2], np.int64)
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            if len(x):
+                x = x if rotation is None else x @ rotation
+                codes, parts = nearest_codes(x, book, "l2"), x.reshape(len(x), len(book), -1)
+                for m in range(len(book)):
+                    np.add.at(sums[m], codes[:, m], parts[:, m])
+                    counts[m] += np.bincount(codes[:, m], minlength=book.shape[1])
+        n = np.repeat(counts.ravel(), book.shape[2])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at]), pa.array(n[at])], names=["at", "x", "n"])
+
+    return vectors.select(doubles("doc_vec").alias("v")).mapInArrow(work, "at long, x double, n long").groupBy("at").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+
 def learned_rotation(vectors: DataFrame, parts: int, codes: int, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """A rotation and the codebook of the rotated vectors: rounds of coding and of the orthogonal Procrustes problem, whose d * d moments are aggregated over all rows."""
     size = len(vectors.select("doc_vec").first()[0])
@@ -118,30 +144,25 @@ def looked_up(codes: np.ndarray, luts: np.ndarray) -> np.ndarray:
     return out
 
 
-def code_search(queries: DataFrame, codes: DataFrame, book: np.ndarray, k: int = 1000, rotation: np.ndarray | None = None, prune: bool = False, inflation: float = 1.0, most_queries: int = 2000) -> DataFrame:
+def code_search(queries: DataFrame, codes: DataFrame, book: np.ndarray, k: int = 1000, rotation: np.ndarray | None = None, prune: bool = False, inflation: float = 1.0, query_rows: int = 256, doc_rows: int = 8192) -> DataFrame:
     """(qid, docid, docno, score, rank from 1) of the k best documents by table lookup.
 
-    Tables go to all tasks, ``most_queries`` at a time, a bounded broadcast. With ``prune`` each batch of documents is searched through
-    its inverted lists, best centroids first, until no unseen document can reach the kth score; ``inflation`` below 1 prunes more and
-    may lose documents, 1 gives the same answer as without.
+    Queries' tables and codes are packed into blocks that meet by an equi-join; a task holds one of either. With ``prune`` each block of
+    codes is searched through its inverted lists, best centroids first, until no unseen document can reach the kth score; ``inflation``
+    below 1 prunes more and may lose documents, 1 gives the same answer as without.
     """
-    rows = lookup_tables(queries, book, rotation)
-    parts = -(-max(1, queries.count()) // most_queries)
-    found = None
-    for p in range(parts):
-        held = rows.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p).collect()
-        if not held:
-            continue
-        qids, luts = [r["qid"] for r in held], np.array([r["lut"] for r in held])
-        shared = queries.sparkSession.sparkContext.broadcast((qids, luts))
-        qtype = pa.int64() if queries.schema["qid"].dataType.simpleString() == "bigint" else pa.string()
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, qtype=qtype) -> Iterator[pa.RecordBatch]:
-            qids, luts = shared.value
-            for b in batches:
-                c = np.array(b.column(2).to_pylist(), np.int64)
-                if not len(c):
-                    continue
+    qtype = queries.schema["qid"].dataType.simpleString()
+    tables = lookup_tables(queries, book, rotation).select("qid", F.flatten("lut").alias("lut"))
+    qb, db = max(1, -(-queries.count() // query_rows)), max(1, -(-codes.count() // doc_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed(tables, "qid", "lut", qb).select(F.col("block").alias("q"), F.col("blob").alias("qs"), every(db).alias("d"))
+    right = packed(codes, "docid", "codes", db).select(F.col("block").alias("d"), F.col("blob").alias("ds"), every(qb).alias("q"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qs, ds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (qids, tables), (docids, c) = pickle.loads(qs), pickle.loads(ds)
+                luts, c, ids = tables.reshape(len(qids), len(book), -1), c.astype(np.int64), np.array(docids, np.int64)
                 if prune:
                     hits = [pruned_best(c, lut, k, inflation) for lut in luts]
                     q, d = np.repeat(np.arange(len(luts)), [len(h) for h in hits]), np.concatenate(hits)
@@ -151,13 +172,10 @@ def code_search(queries: DataFrame, codes: DataFrame, book: np.ndarray, k: int =
                     last = np.partition(scores, max(0, len(c) - k), 1)[:, max(0, len(c) - k)]
                     q, d = np.nonzero(scores >= last[:, None])
                     s = scores[q, d]
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], qtype), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(s)], names=["qid", "docid", "docno", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], pa.int64() if qtype == "bigint" else pa.string()), pa.array(ids[d]), pa.array(s, pa.float64())], names=["qid", "docid", "score"])
 
-        part = codes.select("docid", "docno", "codes").mapInArrow(work, f"qid {queries.schema['qid'].dataType.simpleString()}, docid long, docno string, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = codes.select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), "docid", "docno", F.lit(0.0).alias("score")).where(F.lit(False))
-    return top_k(found, k, first=1)
+    found = left.join(right.hint("shuffle_merge"), ["q", "d"]).select("qs", "ds").mapInArrow(work, f"qid {qtype}, docid long, score double")
+    return top_k(found, k, first=1).join(codes.select("docid", "docno"), "docid")
 
 
 def pruned_best(codes: np.ndarray, lut: np.ndarray, k: int, inflation: float = 1.0, step: int = 8) -> np.ndarray:

@@ -29,3 +29,14 @@ def cut(df: DataFrame, k: int) -> DataFrame:
 def query_columns(df: DataFrame, drop_query_vec: bool = False) -> list[str]:
     """Columns that describe the query: those whose names begin with q."""
     return [c for c in df.columns if c.startswith("q") and not (drop_query_vec and c == "query_vec")]
+
+
+def memoised(queries: DataFrame, search, on: str = "query") -> DataFrame:
+    """What ``search`` finds, run once for each distinct value of ``on`` and joined back to all queries (qid, ...) that hold it.
+
+    ``search`` takes queries (qid, ``on``) and returns hits with qid; hits of all queries with the value are equal.
+    """
+    one = queries.groupBy(on).agg(F.min("qid").alias("qid"))
+    hits = search(one.select("qid", on)).drop(on)
+    each = queries.select(F.col("qid").alias("_own"), on).join(one.withColumnRenamed("qid", "_one"), on)
+    return hits.join(each.drop(on), hits["qid"] == each["_one"]).drop("qid", "_one").withColumnRenamed("_own", "qid")

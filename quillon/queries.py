@@ -6,13 +6,19 @@ needed, is an equal label. Scores are rounded at the end only.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import text as texts
 from quillon.functions import vec
 from quillon.operators import diversity, encode, evaluation, graph, inverted, pq, prf, training
-from quillon.operators.ranking import cut, top_k
+from quillon.operators.blocks import block_top_k
+from quillon.operators.ranking import cut, memoised, top_k
+from quillon.sources.codes import CodeStore
+from quillon.sources.shared import shared_dir
 from quillon.sources.store import VectorStore
 
 K, EVERY, SCALE = 10, 50, 6
@@ -523,7 +529,9 @@ def loss_hard_negatives(s, d):
 @query(f"WITH {C}, {Q}, z AS (SELECT a.qid AS i, b.qid AS j, list_inner_product(a.qv, b.qv) AS score FROM q a, q b), t AS (SELECT i, ln(sum(exp(score))) AS t FROM z GROUP BY i) SELECT round(avg(t - score), 6) AS loss FROM t JOIN z USING (i) WHERE i = j")
 def loss_in_batch(s, d):
     q = queries_of(s, d)
-    scores = F.broadcast(q.select(F.col("qid").alias("i"), F.col("query_vec").alias("a"))).join(q.select(F.col("qid").alias("j"), F.col("query_vec").alias("b")), F.lit(True)).select("i", "j", vec.dot("a", "b").alias("score"))
+    others = corpus(s, d).where(F.col("docid") % EVERY == 0).select("docid", "doc_vec")
+    found = block_top_k(q, others, 10**9)  # the batch is all queries; blocks of it meet by an equi-join
+    scores = found.select(F.col("qid").alias("i"), F.concat(F.lit("q"), F.col("docid").cast("string")).alias("j"), "score")
     return out(training.in_batch_loss(q.select(F.col("qid").alias("i")), scores), "loss")
 
 
@@ -572,3 +580,58 @@ def experiment_grid(s, d):
 @query(BOTH + ", x AS (SELECT b.run, b.ndcg - a.ndcg AS d FROM m a JOIN m b ON a.qid = b.qid AND a.run = 'exact' AND b.run <> 'exact') SELECT run, count(*) AS n, round(avg(d), 6) AS difference, round(avg(d) / nullif(stddev_samp(d) / sqrt(count(*)), 0), 6) AS t FROM x GROUP BY run")
 def paired_test(s, d):
     return out(evaluation.paired_t(tried(s, d), "exact"), "run", "n", "difference", "t")
+
+
+@query(ADC)
+def pq_store_search(s, d):
+    """Codes written to a store with their codebook, opened again and searched there."""
+    path = f"{shared_dir(s)}/code-store-{uuid.uuid4().hex}"
+    codes, book = quantised(s, d, "ip")
+    CodeStore.write(codes, book, path)
+    found = CodeStore.open(s, path).retrieve(queries_of(s, d), 4 * K).withColumn("score", F.round("score", 9))
+    return out(top_k(found, K, first=1), *HITS)
+
+
+@query(f"""WITH {C}, {BOOK}, {SUB}, {L2}, mu AS (SELECT m, code, dim, avg(xx) AS x FROM (SELECT m, code, unnest(range(len(x))) AS dim, unnest(x) AS xx FROM co JOIN sv USING (docid, m)) GROUP BY ALL),
+    old AS (SELECT m, code, unnest(range(len(cv))) AS dim, unnest(cv) AS o FROM bk) SELECT m, code, dim, round(coalesce(x, o), 6) AS value FROM old LEFT JOIN mu USING (m, code, dim)""")
+def pq_trained_round(s, d):
+    """A codebook after one round of means over all documents."""
+    docs = corpus(s, d)
+    book = pq.trained(docs, PARTS, CODES, 1)
+    rows = [(m, c, j, float(book[m, c, j])) for m in range(book.shape[0]) for c in range(book.shape[1]) for j in range(book.shape[2])]
+    return out(s.createDataFrame(rows, "m long, code long, dim long, value double"), "m", "code", "dim", "value")
+
+
+@query()
+def pq_trained_search(s, d):
+    """Search with a codebook trained from a hash-ordered sample."""
+    docs = corpus(s, d)
+    book = pq.trained(docs, PARTS, CODES, 5, start=pq.sampled_codebook(docs, PARTS, CODES))
+    return out(pq.code_search(queries_of(s, d), pq.encoded(docs, book), book, K), *HITS)
+
+
+@query()
+def opq_search(s, d):
+    """Search with a learned rotation and the codebook of the rotated vectors."""
+    docs = corpus(s, d)
+    rotation, book = pq.learned_rotation(docs, PARTS, CODES, 2)
+    return out(pq.code_search(queries_of(s, d), pq.encoded(docs, book, "l2", rotation), book, K, rotation), *HITS)
+
+
+@query(f"WITH {C}, q0 AS (SELECT 'q' || docid AS qid, v AS qv, label AS ql FROM c WHERE docid % {EVERY} = 0), q AS (SELECT * FROM q0 UNION ALL SELECT 'again ' || qid, qv, ql FROM q0), {R(K)} {SHOW}")
+def memoised_search(s, d):
+    """Every query vector twice, searched once."""
+    q = queries_of(s, d)
+    twice = q.unionByName(q.withColumn("qid", F.concat(F.lit("again "), "qid")))
+    return out(memoised(twice, lambda one: store(s, d).retrieve(one, K), "query_vec"), *HITS)
+
+
+@query(r"""SELECT item_id, 'query: ' || coalesce(text, '') AS prompted, CASE WHEN starts_with(text, 'http') THEN ' ' || text ELSE text END AS guarded,
+    regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM benchmark""")
+def text_options(s, d):
+    return table(s, d, "benchmark").select("item_id", texts.prompted("text", "query: ").alias("prompted"), texts.no_url("text").alias("guarded"), texts.slug("text").alias("slug"))
+
+
+@query("SELECT doc_id, sha256(array_to_string([doc_id, n_chars], ',')) AS sha FROM documents")
+def numbers_hash(s, d):
+    return table(s, d, "documents").select("doc_id", texts.numbers_sha256(F.array("doc_id", "n_chars")).alias("sha"))

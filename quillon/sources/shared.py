@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,16 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The session's spark.checkpoint.dir; a temporary folder only where that is unset and all tasks run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         place = tempfile.mkdtemp(prefix="spark-quillon-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written and read again, which cuts its lineage and survives lost executors."""
+    """``df`` written and read again, which cuts its lineage and survives lost executors. The folder goes when the driver ends."""
     place = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    atexit.register(removed, df.sparkSession, place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Deletes a folder; nothing is left to delete once the session has ended."""
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

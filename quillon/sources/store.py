@@ -1,6 +1,6 @@
 """The vector store: a Parquet dataset of (docid, docno, doc_vec) and a small table of its properties.
 
-docid is dense, 0 to n - 1, in the order of an explicit key.
+docid is dense, 0 to n - 1, in the order of an explicit key. What a stream appends goes on from n, in a partition for each batch.
 """
 
 from __future__ import annotations
@@ -15,21 +15,44 @@ from pyspark.sql import types as T
 from quillon.functions.vec import similarity
 from quillon.operators.blocks import block_top_k
 from quillon.operators.ranking import add_ranks, top_k
+from quillon.sources.shared import kept
 
 FORMAT = "quillon-vectors"
 
 
 def with_docids(docs: DataFrame, order: str) -> DataFrame:
-    """Dense ids by ``order``: a range sort, one count a partition, offsets; no single task sees all rows."""
+    """Dense ids by ``order``, and by a hash of the row where that ties: a range sort, one count a partition, offsets; no single task sees all rows.
+
+    The sorted rows are written once with their places, so a lost executor cannot number them anew.
+    """
     spark = docs.sparkSession
-    ordered = docs.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("_at", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mono").persist()
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    ordered = docs.withColumn("_tie", tie).repartitionByRange(order, "_tie").sortWithinPartitions(order, "_tie")
+    placed = kept(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_tie"), "docids")
     offsets, seen = [], 0
-    for r in ordered.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
+    for r in placed.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
         offsets.append((r["_part"], seen))
         seen += r["count"]
     table = spark.createDataFrame(offsets, "_part int, _first long")
-    return ordered.join(F.broadcast(table), "_part").withColumn("docid", F.col("_first") + F.col("_at")).drop("_part", "_first", "_at")
+    return placed.join(F.broadcast(table), "_part").withColumn("docid", F.col("_first") + F.col("_at")).drop("_part", "_first", "_at")
+
+
+def write_meta(spark: SparkSession, path: str, count: int, size: int, sim: str) -> None:
+    meta = json.dumps({"format": FORMAT, "count": count, "size": size, "sim": sim})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    if meta["format"] != FORMAT:
+        raise ValueError(f"{path} holds {meta['format']}")
+    return meta
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a store: its table of properties is written last."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place))
 
 
 @dataclass(frozen=True)
@@ -48,18 +71,15 @@ class VectorStore:
         if n and (low != high or low <= 0):
             raise ValueError(f"vectors of different sizes: {low} to {high}")
         save = "errorifexists" if mode == "create" else "overwrite"
-        with_docids(docs.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec")), order).select("docid", "docno", "doc_vec").write.mode(save).parquet(f"{path}/vectors")
-        meta = json.dumps({"format": FORMAT, "count": n, "size": high or 0, "sim": sim})
-        docs.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        with_docids(docs.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec")), order).select("docid", "docno", "doc_vec", F.lit(-1).alias("batch")).write.mode(save).partitionBy("batch").parquet(f"{path}/vectors")
+        write_meta(docs.sparkSession, path, n, high or 0, sim)
         return cls.open(docs.sparkSession, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorStore:
-        meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        if meta["format"] != FORMAT:
-            raise ValueError(f"{path} holds {meta['format']}")
+        meta = read_meta(spark, path)
         schema = T.StructType([T.StructField("docid", T.LongType()), T.StructField("docno", T.StringType()), T.StructField("doc_vec", T.ArrayType(T.FloatType()))])
-        return cls(spark.read.schema(schema).parquet(f"{path}/vectors"), meta["sim"], meta["count"])
+        return cls(spark.read.schema(schema).parquet(f"{path}/vectors").select("docid", "docno", "doc_vec"), meta["sim"], meta["count"])
 
     def __len__(self) -> int:
         return self.vectors.count() if self.count is None else self.count

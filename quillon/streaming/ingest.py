@@ -6,22 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillon.sources.store import with_docids
+from quillon.sources.store import exists, read_meta, with_docids, write_meta
 
 
-def append_vectors(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of (docno, doc_vec); docids go on where the store ends. A batch that is run again replaces its own files."""
+def append_vectors(docs: DataFrame, path: str, checkpoint: str, sim: str = "dot") -> StreamingQuery:
+    """Append a stream of (docno, doc_vec) to a store, which is begun where there is none; docids go on where the store ends.
+
+    A batch that is run again replaces its own files. All vectors need the size of the store's. The store's count is kept up to date.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{path}/vectors").where(F.col("batch") < number).agg(F.max("docid")).first()[0]
-        except Exception as e:  # noqa: BLE001  the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = None
-        first = 0 if before is None else before + 1
+        meta = read_meta(spark, path) if exists(spark, path) else {"size": 0, "sim": sim}
         rows = with_docids(batch.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec")), "docno")
+        low, high, n = rows.agg(F.min(F.size("doc_vec")), F.max(F.size("doc_vec")), F.count("*")).first()
+        if not n:
+            return
+        if low != high or meta["size"] not in (0, high):
+            raise ValueError(f"vectors of sizes {low} to {high} for a store of {meta['size']}")
+        first = 0
+        if meta["size"]:
+            first = spark.read.parquet(f"{path}/vectors").where(F.col("batch") < number).agg(F.coalesce(F.max("docid") + 1, F.lit(0))).first()[0]
         rows.withColumn("docid", F.col("docid") + first).select("docid", "docno", "doc_vec").write.mode("overwrite").parquet(f"{path}/vectors/batch={number}")
+        write_meta(spark, path, first + n, high, meta["sim"])
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
