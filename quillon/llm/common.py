@@ -16,9 +16,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The session's setting rules; a temporary folder only where it is unset."""
+    """The folder that driver and executors share. The session's setting rules; a temporary folder only where it is unset and all tasks run on this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         place = tempfile.mkdtemp(prefix="spark-quillon-")
         spark.conf.set("spark.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
