@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir
+from quillon.llm.common import discard, written
 from quillon.llm.ngram_join import without_near_copies
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import fit_quality, score_quality
@@ -55,12 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to the documents table, each written as Parquet and read again."""
+    """The stages applied to the documents table, each written as Parquet and read again. What a stage has read goes once its own result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{i}"
-            docs.write.parquet(place)
-            docs = spark.read.parquet(place)
+            docs = written(docs, f"pipeline-{i}")
+            discard(before)
     return docs
