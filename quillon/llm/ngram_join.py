@@ -8,7 +8,7 @@ and frequent ones in pairs. Subclasses are as many as half the smaller size of a
 documents lie in the same or neighbouring bands, and a document indexes its pairs for both.
 
 Equal sets are one node, candidates are verified on whole sets. Links only decide components, so no bucket of the index is expanded into
-its pairs: its members are first compared with a hub, the bucket's member of the least hash, and then with a member of the bucket's
+its pairs: its members are first compared with a hub, the bucket's member of the least key (a hash of its set), and then with a member of the bucket's
 largest component. Only members that are still apart are compared with all others, once for all buckets of a hub, and only against what
 counts and bitmaps leave possible. A document that indexes pairs indexes all its rare tokens; who meets by a pair and nowhere by a rare
 token shares frequent tokens only, so there the bound counts these alone.
@@ -32,8 +32,6 @@ FREQUENT, MOST_FREQUENT = 3, 1 << 20
 CHUNK = 2_000_000
 #: Rows of a block, of which two meet in a task.
 BLOCK = 1024
-#: Bits of the map of index keys that occur more than once. Its size is fixed; where it fills up, more keys are shuffled and none is lost.
-INDEX_BITS = 1 << 26
 #: Bits a token of the two bitmaps, of all tokens and of the frequent ones, and the most bits of one.
 ALL_BITS, FREQUENT_BITS, MOST_BITS = 1.2, 4.8, 1 << 14
 #: Kinds of index keys: a rare token, a pair of frequent ones. The lowest bit of a key says which.
@@ -176,28 +174,6 @@ def _index(docs: DataFrame, n: int, frequent: np.ndarray, percent: int) -> DataF
     return docs.mapInArrow(work, "sig long, k long, n long, f long, doc_id long, whole binary, common binary")
 
 
-def _met_twice(index: DataFrame) -> DataFrame:
-    """The rows of the index whose key may occur more than once, by a map of fixed size that is built from all keys."""
-    place = F.pmod("sig", F.lit(INDEX_BITS)).cast("int").alias("place")
-    twice = index.select(place).groupBy("place").count().where(F.col("count") > 1).select("place")
-    shared = index.sparkSession.sparkContext.broadcast(bit_map(twice, INDEX_BITS))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64) % np.uint64(INDEX_BITS)
-            yield batch.filter(pa.array((shared.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1))
-
-    return index.mapInArrow(work, "sig long, k long")
-
-
-def bit_map(places: DataFrame, bits: int) -> np.ndarray:
-    """A map with the bits of the column place set; at most bits / 64 rows reach the driver."""
-    words = places.select(F.expr("place div 64").alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words.column("word").to_numpy().astype(np.int64)] = words.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
 def _sets(docs: DataFrame, ends: DataFrame, n: int) -> DataFrame:
     """(k, tokens) of the nodes ``ends`` (k, doc_id of one of its documents). Only documents whose id a bounded map may hold are read again."""
     bitmap = id_filter(ends, "doc_id")
@@ -359,9 +335,8 @@ class _Links:
 def _component_roots(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame | None:
     """(k, root) of all nodes that links reach; none without a link."""
     index = written(_index(docs, n, frequent, percent), "index")
-    met = _met_twice(index.where(F.col("sig").isNotNull()).select("sig", "k"))
-    shared = met.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("size"), F.min(F.struct(F.xxhash64("k").alias("h"), "k")).alias("hub"))
-    shared = shared.where(F.col("low") != F.col("high")).select("sig", "size", F.col("hub.k").alias("hub"))
+    met = index.where(F.col("sig").isNotNull()).select("sig", "k")
+    shared = met.groupBy("sig").agg(F.min("k").alias("hub"), F.max("k").alias("high"), F.count("*").alias("size")).where(F.col("hub") != F.col("high")).select("sig", "size", "hub")
     buckets = written(met.join(shared, "sig").withColumn("kind", (F.col("sig").bitwiseAND(F.lit(1))).cast("int")), "buckets")
     nodes = index.where(F.col("sig").isNull()).groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "f", "whole", "common")), F.min("doc_id").alias("doc_id"))
     nodes = written(nodes.join(buckets.select("k").distinct(), "k", "left_semi"), "nodes")
