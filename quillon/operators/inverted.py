@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions.vec import similarity
 from quillon.operators.blocks import folded
 from quillon.operators.ranking import top_k
+from quillon.operators.training import sampled
 
 
 #: Places among which the documents of a list are dealt.
@@ -42,8 +43,9 @@ def assigned(rows: DataFrame, vec: str, centroids: np.ndarray, keep: list[str],
     return rows.select(*keep, F.col(vec).cast("array<double>").alias(vector)).mapInArrow(work, f"{fields}, {name} long")
 
 
-def first_centroids(vectors: DataFrame, n: int) -> np.ndarray:
-    return np.array([r["v"] for r in vectors.orderBy("docid").limit(n).select(F.col("doc_vec").cast("array<double>").alias("v")).collect()])
+def sampled_centroids(vectors: DataFrame, n: int, seed: int = 42) -> np.ndarray:
+    """The vectors of ``n`` documents, sampled from the whole table by a hash of docid and seed."""
+    return np.array([r["v"] for r in sampled(vectors, "docid", n, seed).select(F.col("doc_vec").cast("array<double>").alias("v")).collect()])
 
 
 def lloyd(vectors: DataFrame, centroids: np.ndarray, rounds: int) -> np.ndarray:

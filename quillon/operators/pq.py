@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 from quillon.functions.vec import doubles, times_matrix
 from quillon.operators.blocks import block_top_k, folded, packed
 from quillon.operators.ranking import top_k
+from quillon.operators.training import sampled
 
 
-def first_codebook(vectors: DataFrame, parts: int, codes: int) -> np.ndarray:
-    """[parts, codes, width]: the sub-vectors of the first documents. The size must be a multiple of ``parts``."""
-    v = np.array([r["v"] for r in vectors.orderBy("docid").limit(codes).select(doubles("doc_vec").alias("v")).collect()])
-    if v.shape[1] % parts:
-        raise ValueError(f"size {v.shape[1]} is no multiple of {parts}")
-    return v.reshape(len(v), parts, -1).transpose(1, 0, 2).copy()
+#: Documents of a block of an inverted list.
+LIST_ROWS = 8192
 
 
 def sampled_codebook(vectors: DataFrame, parts: int, codes: int, seed: int = 42) -> np.ndarray:
-    """[parts, codes, width]: the sub-vectors of the first documents by a hash of docid and seed, a sample of the whole table."""
-    chosen = vectors.orderBy(F.xxhash64("docid", F.lit(seed)), "docid").limit(codes).select(F.monotonically_increasing_id().alias("docid"), "doc_vec")
-    return first_codebook(chosen, parts, codes)
+    """[parts, codes, width]: the sub-vectors of ``codes`` documents, sampled from the whole table by a hash of docid and seed.
+
+    The size must be a multiple of ``parts``.
+    """
+    v = np.array([r["v"] for r in sampled(vectors, "docid", codes, seed).select(doubles("doc_vec").alias("v")).collect()])
+    if v.shape[1] % parts:
+        raise ValueError(f"size {v.shape[1]} is no multiple of {parts}")
+    return v.reshape(len(v), parts, -1).transpose(1, 0, 2).copy()
 
 
 def nearest_codes(x: np.ndarray, book: np.ndarray, assign: str) -> np.ndarray:
@@ -67,8 +69,8 @@ def decoded(codes: DataFrame, book: np.ndarray, rotation: np.ndarray | None = No
 
 
 def trained(vectors: DataFrame, parts: int, codes: int, rounds: int = 10, rotation: np.ndarray | None = None, start: np.ndarray | None = None) -> np.ndarray:
-    """Lloyd's rounds from the first documents. Means are aggregated per part and code; parts * codes * width numbers reach the driver."""
-    book = first_codebook(vectors, parts, codes) if start is None else start.copy()
+    """Lloyd's rounds from a sample of the documents. Means are aggregated per part and code; parts * codes * width numbers reach the driver."""
+    book = sampled_codebook(vectors, parts, codes) if start is None else start.copy()
     if rotation is not None and start is None:
         book = (book.transpose(1, 0, 2).reshape(book.shape[1], -1) @ rotation).reshape(book.shape[1], parts, -1).transpose(1, 0, 2).copy()
     for _ in range(rounds):
@@ -204,9 +206,10 @@ def flat_search(queries: DataFrame, codes: DataFrame, book: np.ndarray, k: int =
     return found.join(codes.select("docid", "docno"), "docid").withColumn("rank", F.col("rank") + 1)
 
 
-def inverted_codes(codes: DataFrame) -> DataFrame:
-    """(part, code, docids): the documents of each centroid in docid order."""
-    return codes.select("docid", F.posexplode("codes").alias("part", "code")).groupBy("part", "code").agg(F.array_sort(F.collect_list("docid")).alias("docids"))
+def inverted_codes(codes: DataFrame, rows: int = LIST_ROWS) -> DataFrame:
+    """(part, code, block, docids): the documents of each centroid in docid order, a row for each block of ``rows`` docids, so that no list grows with the table."""
+    block = F.floor(F.col("docid") / rows).alias("block")
+    return codes.select("docid", block, F.posexplode("codes").alias("part", "code")).groupBy("part", "code", "block").agg(F.array_sort(F.collect_list("docid")).alias("docids"))
 
 
 def packed_codes(codes: DataFrame, bits: int) -> DataFrame:

@@ -7,6 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Places among which the documents of a label are dealt.
+PLACES = 64
+
+
+def same_value(queries: DataFrame, docs: DataFrame, on: str, places: int = PLACES) -> DataFrame:
+    """Each query with every document of its value of ``on``; a null value meets none. Other columns need different names.
+
+    A value's documents are dealt among places, to each of which its queries go, so that no value is one task.
+    """
+    place = "_place"
+    dealt = docs.withColumn(place, F.pmod(F.xxhash64("docno"), F.lit(places)).cast("int"))
+    asked = queries.withColumn(place, F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    return asked.join(dealt, [on, place]).drop(place)
+
+
+def judged(relevant: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(qid, docno, label): all relevant ones with label 1, and with label 0 what was retrieved beside them."""
+    good = relevant.select("qid", "docno")
+    return good.withColumn("label", F.lit(1)).unionByName(retrieved.select("qid", "docno").join(good, ["qid", "docno"], "left_anti").withColumn("label", F.lit(0)))
+
+
 def pairs_of(qrels: DataFrame, queries: DataFrame, max_neg: int | None = None) -> DataFrame:
     """(qid, query, doc_id_a, doc_id_b): each positive with each of a query's first ``max_neg`` negatives, by docno."""
     pos = qrels.where(F.col("label") > 0).select("qid", F.col("docno").alias("doc_id_a"))

@@ -131,7 +131,7 @@ def vec_load_docno(s, d):
 def same_label(s, d):
     docs = corpus(s, d)
     q = docs.where(F.col("docid") % EVERY == 0).select(F.concat(F.lit("q"), F.col("docid").cast("string")).alias("qid"), F.col("doc_vec").alias("query_vec"), "label")
-    return q.join(docs.select("docid", "docno", "label"), "label").drop("label").withColumn("score", F.lit(-100.0))
+    return training.same_value(q, docs.select("docid", "docno", "label"), "label").drop("label").withColumn("score", F.lit(-100.0))
 
 
 RE = lambda k: f"WITH {C}, {Q}, s AS (SELECT qid, docid, docno, {DOT} AS score FROM q JOIN c ON ql = label), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) - 1 AS rank FROM s QUALIFY rank < {k}) {SHOW}"
@@ -180,23 +180,32 @@ def ils_at_1(s, d):
     return out(diversity.ils(loaded(s, d), 1), "qid", "ils")
 
 
-@query(f"""WITH RECURSIVE {C}, {Q}, {R(K)},
-    n AS (SELECT qid, rank, score, v, sqrt(list_inner_product(v, v)) AS l FROM r),
-    sim AS (SELECT a.qid, a.rank AS i, b.rank AS j, list_inner_product(a.v, b.v) / (a.l * b.l) AS x FROM n a JOIN n b USING (qid)),
+def mmr_sql(weight: float, rel: str = "score", near: str = "x") -> str:
+    """Greedy steps; ``rel`` and ``near`` say what counts as relevance (of a hit) and as similarity (of two)."""
+    return f"""WITH RECURSIVE {C}, {Q}, {R(K)},
+    n AS (SELECT qid, rank, {rel} AS rel, v, sqrt(list_inner_product(v, v)) AS l FROM r),
+    cosines AS (SELECT a.qid, a.rank AS i, b.rank AS j, list_inner_product(a.v, b.v) / (a.l * b.l) AS x FROM n a JOIN n b USING (qid)),
+    sim AS (SELECT qid, i, j, {near} AS x FROM cosines),
     t AS (SELECT DISTINCT qid, 0::BIGINT AS step, []::BIGINT[] AS taken FROM n
       UNION ALL
       SELECT qid, step + 1, list_append(taken, i) FROM (
-        SELECT t.qid, t.step, t.taken, n.rank AS i, 0.5 * n.score - 0.5 * greatest(0, coalesce((SELECT max(x) FROM sim WHERE sim.qid = t.qid AND sim.j = n.rank AND list_contains(t.taken, sim.i)), 0)) AS value
+        SELECT t.qid, t.step, t.taken, n.rank AS i, {weight} * n.rel - (1 - {weight}) * greatest(0, coalesce((SELECT max(x) FROM sim WHERE sim.qid = t.qid AND sim.j = n.rank AND list_contains(t.taken, sim.i)), 0)) AS value
         FROM t JOIN n ON n.qid = t.qid AND NOT list_contains(t.taken, n.rank))
       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY value DESC, i) = 1),
     f AS (SELECT qid, taken FROM t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY step DESC) = 1),
     e AS (SELECT qid, unnest(taken) AS old, unnest(range(len(taken))) AS rank FROM f)
-    SELECT e.qid, r.docid, 0.0::DOUBLE - e.rank AS score, e.rank FROM e JOIN r ON r.qid = e.qid AND r.rank = e.old""")
+    SELECT e.qid, r.docid, 0.0::DOUBLE - e.rank AS score, e.rank FROM e JOIN r ON r.qid = e.qid AND r.rank = e.old"""
+
+
+SCALED = lambda c: f"coalesce(({c} - min({c}) OVER (PARTITION BY qid)) / nullif(max({c}) OVER (PARTITION BY qid) - min({c}) OVER (PARTITION BY qid), 0), 0)"
+
+
+@query(mmr_sql(0.5))
 def mmr(s, d):
     return out(diversity.mmr(loaded(s, d)), "qid", "docid", "score", "rank")
 
 
-@query()
+@query(mmr_sql(0.7, SCALED("score"), SCALED("x")))
 def mmr_normalised(s, d):
     return out(diversity.mmr(loaded(s, d), 0.7, True, True), "qid", "docid", "score", "rank")
 
@@ -278,24 +287,33 @@ def beam_search(s, d):
     return out(graph.beam_search(queries_of(s, d), store(s, d).vectors, near_graph(s, d), K, 48, 16, 16), *HITS)
 
 
-CENT = f"ce AS (SELECT row_number() OVER (ORDER BY docid) - 1 AS list, v AS cv FROM c QUALIFY list < {LISTS})"
-ASSIGN = "l AS (SELECT docid, docno, v, arg_max(list, (list_inner_product(cv, v), -list)) AS list FROM c, ce GROUP BY docid, docno, v)"
+HASHED = "ORDER BY md5('42|' || docid), docid"
+CENT = f"ce AS (SELECT row_number() OVER ({HASHED}) - 1 AS list, v AS cv FROM c QUALIFY list < {LISTS})"
+NEAREST = lambda name, ce: f"{name} AS (SELECT docid, docno, v, arg_max(list, (list_inner_product(cv, v), -list)) AS list FROM c, {ce} GROUP BY docid, docno, v)"
+ASSIGN = NEAREST("l", "ce")
 
 
-def probe_sql(n: int) -> str:
-    return f"""WITH {C}, {Q}, {CENT}, {ASSIGN}, p AS (SELECT qid, qv, list FROM q, ce QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(cv, qv) DESC, list) <= {n}),
+def means_sql(name: str, lists: str, ce: str) -> str:
+    """The centroids ``ce`` moved to the means of ``lists``."""
+    return f"""{name}x AS (SELECT list, dim, avg(x) AS x FROM (SELECT list, unnest(range(len(v))) AS dim, unnest(v) AS x FROM {lists}) GROUP BY ALL),
+    {name}v AS (SELECT list, list(x ORDER BY dim) AS v FROM {name}x GROUP BY list), {name} AS (SELECT o.list, coalesce(n.v, o.cv) AS cv FROM {ce} o LEFT JOIN {name}v n ON o.list = n.list)"""
+
+
+def probe_sql(n: int, trained: bool = False) -> str:
+    rounds = f"{NEAREST('l1', 'ce')}, {means_sql('ce1', 'l1', 'ce')}, {NEAREST('l2', 'ce1')}, {means_sql('ce2', 'l2', 'ce1')}, {NEAREST('l', 'ce2')}"
+    return f"""WITH {C}, {Q}, {CENT}, {rounds if trained else ASSIGN}, p AS (SELECT qid, qv, list FROM q, {'ce2' if trained else 'ce'} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_inner_product(cv, qv) DESC, list) <= {n}),
     z AS (SELECT qid, docid, {DOT} AS score FROM p JOIN l USING (list)) SELECT qid, docid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) - 1 AS rank FROM z QUALIFY rank < 10"""
 
 
 @query(f"WITH {C}, {CENT}, {ASSIGN} SELECT docid, list FROM l")
 def inverted_assign(s, d):
     docs = corpus(s, d)
-    return out(inverted.assigned(docs, "doc_vec", inverted.first_centroids(docs, LISTS), ["docid"]), "docid", "list")
+    return out(inverted.assigned(docs, "doc_vec", inverted.sampled_centroids(docs, LISTS), ["docid"]), "docid", "list")
 
 
 def probed(s, d, n):
     docs = corpus(s, d)
-    return out(inverted.inverted_search(queries_of(s, d), docs, inverted.first_centroids(docs, LISTS), K, n), "qid", "docid", "score", "rank")
+    return out(inverted.inverted_search(queries_of(s, d), docs, inverted.sampled_centroids(docs, LISTS), K, n), "qid", "docid", "score", "rank")
 
 
 @query(probe_sql(1))
@@ -313,10 +331,10 @@ def inverted_all_probes(s, d):
     return probed(s, d, LISTS)
 
 
-@query()
+@query(probe_sql(4, True))
 def inverted_trained(s, d):
     docs = corpus(s, d)
-    centroids = inverted.lloyd(docs, inverted.first_centroids(docs, LISTS), 2)
+    centroids = inverted.lloyd(docs, inverted.sampled_centroids(docs, LISTS), 2)
     return out(inverted.inverted_search(queries_of(s, d), docs, centroids, K, 4), "qid", "docid", "score", "rank")
 
 
@@ -365,7 +383,7 @@ def passages(s, d):
     return encode.passages(table(s, d, "documents"), "doc_id", "text")
 
 
-BOOK = f"f AS (SELECT docid, v, row_number() OVER (ORDER BY docid) - 1 AS code FROM c QUALIFY code < {CODES}), bk AS (SELECT code, m, v[m * (len(v) // {PARTS}) + 1 : (m + 1) * (len(v) // {PARTS})] AS cv FROM f, (SELECT unnest(range({PARTS})) AS m))"
+BOOK = f"f AS (SELECT docid, v, row_number() OVER ({HASHED}) - 1 AS code FROM c QUALIFY code < {CODES}), bk AS (SELECT code, m, v[m * (len(v) // {PARTS}) + 1 : (m + 1) * (len(v) // {PARTS})] AS cv FROM f, (SELECT unnest(range({PARTS})) AS m))"
 SUB = f"sv AS (SELECT docid, docno, m, v[m * (len(v) // {PARTS}) + 1 : (m + 1) * (len(v) // {PARTS})] AS x FROM c, (SELECT unnest(range({PARTS})) AS m))"
 L2 = "co AS (SELECT docid, docno, m, arg_min(code, (d, code)) AS code FROM (SELECT docid, docno, m, code, pow(list_distance(x, cv), 2) AS d FROM sv JOIN bk USING (m)) GROUP BY ALL)"
 IP = "co AS (SELECT docid, docno, m, arg_max(code, (d, -code)) AS code FROM (SELECT docid, docno, m, code, list_inner_product(x, cv) AS d FROM sv JOIN bk USING (m)) GROUP BY ALL)"
@@ -373,7 +391,7 @@ IP = "co AS (SELECT docid, docno, m, arg_max(code, (d, -code)) AS code FROM (SEL
 
 def quantised(s, d, assign):
     docs = corpus(s, d)
-    book = pq.first_codebook(docs, PARTS, CODES)
+    book = pq.sampled_codebook(docs, PARTS, CODES)
     return pq.encoded(docs, book, assign), book
 
 
@@ -429,10 +447,10 @@ def pq_flat(s, d):
     return out(top_k(found, K, first=1), *HITS)
 
 
-@query(f"WITH {C}, {BOOK}, {SUB}, {IP} SELECT m AS part, code, array_to_string(list(docid ORDER BY docid), ',') AS docids FROM co GROUP BY ALL")
+@query(f"WITH {C}, {BOOK}, {SUB}, {IP} SELECT m AS part, code, docid // {pq.LIST_ROWS} AS block, array_to_string(list(docid ORDER BY docid), ',') AS docids FROM co GROUP BY ALL")
 def pq_inverted(s, d):
     codes, _ = quantised(s, d, "ip")
-    return out(pq.inverted_codes(codes).withColumn("docids", F.array_join(F.col("docids").cast("array<string>"), ",")), "part", "code", "docids")
+    return out(pq.inverted_codes(codes).withColumn("docids", F.array_join(F.col("docids").cast("array<string>"), ",")), "part", "code", "block", "docids")
 
 
 @query(f"WITH {C}, {BOOK}, {SUB}, {IP}, p AS (SELECT docid, m // 2 AS b, sum(code * (CASE WHEN m % 2 = 0 THEN 1 ELSE 16 END))::BIGINT AS x FROM co GROUP BY ALL) SELECT docid, string_agg(printf('%02X', x), '' ORDER BY b) AS packed FROM p GROUP BY docid")
@@ -449,13 +467,11 @@ def pq_rotation(s, d):
 
 
 def qrels(s, d):
-    docs = corpus(s, d)
-    q = docs.where(F.col("docid") % EVERY == 0).select(F.concat(F.lit("q"), F.col("docid").cast("string")).alias("qid"), F.col("label").alias("ql"))
-    near = retrieved(s, d, 30).select("qid", "docid").join(q, "qid").join(docs.select("docid", "docno", "label"), "docid")
-    return near.select("qid", "docno", (F.col("label") == F.col("ql")).cast("int").alias("label"))
+    """All documents of a query's label are relevant; of the others, what is retrieved at depth 30 is judged."""
+    return training.judged(same_label(s, d), retrieved(s, d, 30))
 
 
-QREL = f"WITH {C}, {Q}, {R(30)}, e AS (SELECT qid, docno, docid, (label = ql)::BIGINT AS label, score, rank FROM r)"
+QREL = f"WITH {C}, {Q}, {R(30)}, e AS (SELECT s.qid, s.docno, s.docid, coalesce(s.label = s.ql, false)::BIGINT AS label, s.score, r.rank FROM s LEFT JOIN r ON s.qid = r.qid AND s.docid = r.docid WHERE s.label = s.ql OR r.rank IS NOT NULL)"
 PAIR = ", a AS (SELECT qid, docno AS doc_id_a, score AS pos FROM e WHERE label > 0), b AS (SELECT qid, docno AS doc_id_b, score AS neg FROM e WHERE label <= 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY docno) <= 4)"
 
 
@@ -511,7 +527,7 @@ def reservoir_sample(s, d):
 
 
 def scored_pairs(s, d):
-    scores = retrieved(s, d, 30).select("qid", "docno", "score")
+    scores = store(s, d).score(qrels(s, d).join(queries_of(s, d), "qid")).select("qid", "docno", "score")
     p = pairs(s, d)
     return p.join(scores.select("qid", F.col("docno").alias("doc_id_a"), F.col("score").alias("pos")), ["qid", "doc_id_a"]).join(scores.select("qid", F.col("docno").alias("doc_id_b"), F.col("score").alias("neg")), ["qid", "doc_id_b"])
 
@@ -535,7 +551,7 @@ def loss_in_batch(s, d):
     return out(training.in_batch_loss(q.select(F.col("qid").alias("i")), scores), "loss")
 
 
-@query(QREL + ", g AS (SELECT *, (pow(2.0, label) - 1) / log2(rank + 2.0) AS g FROM e), p AS (SELECT a.qid, avg(ln(1 + exp(-(a.score - b.score))) * abs(a.g - b.g)) AS v FROM g a JOIN g b ON a.qid = b.qid AND a.label > b.label GROUP BY a.qid) SELECT round(avg(v), 6) AS loss FROM p")
+@query(QREL + ", g AS (SELECT *, (pow(2.0, label) - 1) / log2(rank + 2.0) AS g FROM e WHERE rank IS NOT NULL), p AS (SELECT a.qid, avg(ln(1 + exp(-(a.score - b.score))) * abs(a.g - b.g)) AS v FROM g a JOIN g b ON a.qid = b.qid AND a.label > b.label GROUP BY a.qid) SELECT round(avg(v), 6) AS loss FROM p")
 def loss_lambda_rank(s, d):
     rows = retrieved(s, d, 30).select("qid", "docno", "score", "rank").join(qrels(s, d), ["qid", "docno"])
     return out(training.lambda_rank_loss(rows), "loss")
@@ -606,7 +622,7 @@ def pq_trained_round(s, d):
 def pq_trained_search(s, d):
     """Search with a codebook trained from a hash-ordered sample."""
     docs = corpus(s, d)
-    book = pq.trained(docs, PARTS, CODES, 5, start=pq.sampled_codebook(docs, PARTS, CODES))
+    book = pq.trained(docs, PARTS, CODES, 5)
     return out(pq.code_search(queries_of(s, d), pq.encoded(docs, book), book, K), *HITS)
 
 

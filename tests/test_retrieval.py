@@ -148,7 +148,7 @@ def gar_loop(s, first, near, batch, most):
 
 def test_inverted_lists(spark):
     df, x = corpus(spark, 90, 4, 3)
-    centroids = inverted.lloyd(df, inverted.first_centroids(df, 5), 2)
+    centroids = inverted.lloyd(df, inverted.sampled_centroids(df, 5), 2)
     every = inverted.inverted_search(asked(spark, x), df, centroids, 6, 5)
     exact = VectorStore(df).retrieve(asked(spark, x), 6)
     key = lambda rows: sorted((r["qid"], r["rank"], r["docid"]) for r in rows.collect())
@@ -166,7 +166,7 @@ def test_quantisation(spark):
     assert all(own[i][m] == int(((parts[i, m] - book[m]) ** 2).sum(1).argmin()) for i in range(120) for m in range(4))
     near = {r["docid"]: r["doc_vec"] for r in pq.decoded(codes, book).collect()}
     back = np.stack([near[i] for i in range(120)])
-    first = pq.first_codebook(df, 4, 8)
+    first = pq.sampled_codebook(df, 4, 8)
     rough = np.stack([np.concatenate([first[m, pq.nearest_codes(x, first, "l2")[i, m]] for m in range(4)]) for i in range(120)])
     assert ((back - x) ** 2).sum() < ((rough - x) ** 2).sum()
     ask = asked(spark, x)
@@ -175,11 +175,14 @@ def test_quantisation(spark):
     packed = {r["docid"]: bytes.fromhex(r["packed"]) for r in pq.packed_codes(codes, 3).collect()}
     for i in range(120):
         assert int.from_bytes(packed[i], "little") == sum(c << (3 * m) for m, c in enumerate(own[i])) and len(packed[i]) == 2
+    lists = pq.inverted_codes(codes, 50).collect()
+    assert {r["block"] for r in lists} == {0, 1, 2} and all(r["docids"] == sorted(r["docids"]) for r in lists)
+    assert sorted((d, r["part"], r["code"]) for r in lists for d in r["docids"]) == sorted((i, m, c) for i in own for m, c in enumerate(own[i]))
     rotation, rotated = pq.learned_rotation(df, 4, 8, 2)
     assert np.allclose(rotation @ rotation.T, np.eye(8)) and rotated.shape == (4, 8, 2)
     assert pq.code_search(ask, pq.encoded(df, rotated, "l2", rotation), rotated, 5, rotation).count() == 10
     with pytest.raises(ValueError, match="multiple"):
-        pq.first_codebook(df, 3, 4)
+        pq.sampled_codebook(df, 3, 4)
 
 
 class Lengths:
@@ -222,6 +225,17 @@ def test_training_data_and_losses(spark):
     assert training.sampled(docs, "docno", 2).count() == 2
 
 
+def test_relevance_by_an_equal_value(spark):
+    queries = spark.createDataFrame([("q1", 1), ("q2", 2), ("q3", None)], "qid string, label int")
+    docs = spark.createDataFrame([(f"d{i}", None if i % 7 == 0 else i % 3) for i in range(40)], "docno string, label int")
+    found = training.same_value(queries, docs, "label", 4)
+    want = {(f"q{v}", f"d{i}") for i in range(40) for v in (1, 2) if i % 7 and i % 3 == v}
+    assert sorted((r["qid"], r["docno"]) for r in found.collect()) == sorted(want)
+    run = spark.createDataFrame([("q1", "d1"), ("q1", "d0"), ("q3", "d2")], "qid string, docno string")
+    rows = sorted(tuple(r) for r in training.judged(found, run).collect())
+    assert rows == sorted([(q, d, 1) for q, d in want] + [("q1", "d0", 0), ("q3", "d2", 0)])
+
+
 def test_measures_by_hand(spark):
     run = spark.createDataFrame([("q1", d, i) for i, d in enumerate("xayb")], "qid string, docno string, rank int")
     qrels = spark.createDataFrame([("q1", "a", 1), ("q1", "b", 2), ("q2", "a", 1)], "qid string, docno string, label int")
