@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import crc_mod
+from quillon.llm.fill_middle import fill_in_middle, restored
 from quillon.llm.hnsw import nearest_neighbours
 from quillon.llm.lm import score_language
+from quillon.llm.merkle import folded, leaf_of, merkle_manifest
 from quillon.llm.ngram_join import ngram_components
 from quillon.llm.packing import pack_documents
 from quillon.llm.piece_bpe import round_trips
@@ -108,6 +110,63 @@ def url_filter_sql() -> str:
     SELECT page_id, host, path, {rule} AS rule, n_strict, n_soft, {verdict} AS verdict FROM n"""
 
 
+MANIFEST = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bare = F.translate("text", "\n", "")
+    tampered = F.when(crc_mod(F.col("doc_id"), 2) == 0, leaf_of([bare if c == "text" else F.col(c) for c in MANIFEST]))
+    manifest = merkle_manifest(docs.withColumn("tampered", tampered), columns=MANIFEST, keep=("doc_id", "tampered"))
+    proof = F.sha2(F.array_join(F.flatten(F.transform("proof", lambda s: s["siblings"])), "").cast("binary"), 256)
+    out = manifest.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: Levels by runs of three, twice: in each source, then over the sources; and each row's way up, with its siblings and its folded digest.
+MERKLE_SQL = r"""
+    WITH RECURSIVE d AS (SELECT *, coalesce('=' || source, '') AS grp FROM documents),
+    f AS (SELECT doc_id, grp, source, lang, n_chars, text, replace(text, chr(10), '') AS bare,
+            list_reduce(list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii((doc_id::VARCHAR)[i + 1])::BIGINT),
+              lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT) & 1 AS odd FROM d),
+    l AS (SELECT doc_id, grp, sha256(concat({own}, {text})) AS leaf, CASE WHEN odd = 1 THEN sha256(concat({own}, {bare})) ELSE sha256(concat({own}, {text})) END AS told,
+            row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, sha256(concat({own}, {text}))) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM f),
+    t AS (SELECT grp, 0 AS level, idx, n, leaf AS h FROM l
+      UNION ALL SELECT grp, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY grp, level, idx // 3, n),
+    s AS (SELECT grp, level AS depth, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (SELECT 0 AS level, idx, n, subroot AS h FROM s
+      UNION ALL SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, idx // 3, n),
+    nodes AS (SELECT grp, level, idx, h, depth FROM t JOIN s USING (grp)),
+    runs AS (SELECT grp, level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM t GROUP BY ALL),
+    tops AS (SELECT level, idx // 3 AS run, list(h ORDER BY idx) AS hs FROM u GROUP BY ALL),
+    w AS (SELECT l.doc_id, l.grp, l.leaf, l.told AS here, l.idx, 0 AS level, s.depth, s.idx AS place, s.subroot, '' AS others, l.idx AS own, s.n AS sources FROM l JOIN s USING (grp)
+      UNION ALL SELECT w.doc_id, w.grp, leaf, sha256(concat(array_to_string(hs[:idx % 3], ''), here, array_to_string(hs[idx % 3 + 2:], ''))), idx // 3, w.level + 1, depth, place, subroot,
+        others || array_to_string(hs[:idx % 3], '') || array_to_string(hs[idx % 3 + 2:], ''), own, sources FROM w JOIN runs r ON r.grp = w.grp AND r.level = w.level AND r.run = idx // 3 WHERE w.level < depth),
+    v AS (SELECT doc_id, grp, leaf, own, subroot, here, others, place AS idx, 0 AS level, sources AS n FROM w WHERE level = depth
+      UNION ALL SELECT doc_id, grp, leaf, own, subroot, sha256(concat(array_to_string(hs[:idx % 3], ''), here, array_to_string(hs[idx % 3 + 2:], ''))),
+        others || array_to_string(hs[:idx % 3], '') || array_to_string(hs[idx % 3 + 2:], ''), idx // 3, v.level + 1, (n + 2) // 3 FROM v JOIN tops r ON r.level = v.level AND r.run = idx // 3 WHERE n > 1)
+    SELECT doc_id, leaf, subroot, r.h AS root, sha256(others) AS proof_sha256, here AS folded_root, here = r.h AS verified FROM v, (SELECT h FROM u WHERE n = 1) r WHERE v.n = 1"""
+for _name in ("own", "text", "bare"):
+    _spelled = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in (MANIFEST[:-1] if _name == "own" else [_name])]
+    MERKLE_SQL = MERKLE_SQL.replace("{" + _name + "}", ", ".join(_spelled))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+FILL_SQL = r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+    h AS (SELECT *, len(u) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM t),
+    c AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+            least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+    p AS (SELECT doc_id, n, form, text, array_to_string(u[:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -119,5 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hnsw_search": op8_hnsw_search,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op4_ngram_jaccard_join": NGRAM_JOIN_SQL, "op10_url_filter": url_filter_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op4_ngram_jaccard_join": NGRAM_JOIN_SQL, "op10_url_filter": url_filter_sql(), "op11_merkle_manifest": MERKLE_SQL, "op13_fill_in_middle": FILL_SQL}
