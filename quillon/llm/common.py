@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def _remove(spark: SparkSession, place: str) -> None:
+def remove(spark: SparkSession, place: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(place)
@@ -48,7 +48,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    atexit.register(_remove, spark, place)
+    atexit.register(remove, spark, place)
     out = spark.read.schema(df.schema).parquet(place)
     _PLACES[id(out)] = (out, place)
     return out
@@ -59,7 +59,7 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         if id(table) in _PLACES:
             own, place = _PLACES.pop(id(table))
-            _remove(own.sparkSession, place)
+            remove(own.sparkSession, place)
 
 
 def unused(name: str, *tables: DataFrame) -> str:

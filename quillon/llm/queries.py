@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc_mod
+from quillon.llm.common import crc_mod, remove, shared_dir
 from quillon.llm.fill_middle import fill_in_middle, restored
 from quillon.llm.hnsw import nearest_neighbours
 from quillon.llm.lm import score_language
@@ -20,6 +21,7 @@ from quillon.llm.secret_scan import scan_secrets
 from quillon.llm.threshold_search import exact_top_k
 from quillon.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from quillon.llm.url_filter import SOFT_TERMS, STRICT_TERMS, filter_urls
+from quillon.llm.warc import assembled, page_captures, read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +153,22 @@ for _name in ("own", "text", "bare"):
     MERKLE_SQL = MERKLE_SQL.replace("{" + _name + "}", ", ".join(_spelled))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), path)
+    out = page_captures(assembled(read_warc(spark, path)))
+    remove(spark, path)
+    return out
+
+
+WARC_SQL = r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    h AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS head FROM p),
+    d AS (SELECT *, list_transform(range(8), lambda i: ('0x' || hex[i * 5 + 1:i * 5 + 5])::BIGINT) AS w FROM h)
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda j: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((w[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1]), '') AS payload_digest,
+      CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM d"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -179,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op4_ngram_jaccard_join": NGRAM_JOIN_SQL, "op10_url_filter": url_filter_sql(), "op11_merkle_manifest": MERKLE_SQL, "op13_fill_in_middle": FILL_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op4_ngram_jaccard_join": NGRAM_JOIN_SQL, "op10_url_filter": url_filter_sql(), "op11_merkle_manifest": MERKLE_SQL, "op12_warc": WARC_SQL, "op13_fill_in_middle": FILL_SQL}
