@@ -1,7 +1,8 @@
 """Queries against all vectors, block by block.
 
-Both sides are packed into blocks of bounded size, one row each, that meet by an equi-join on block numbers; a task holds one pair of
-blocks, multiplies them at once and keeps each query's best. Kept scores are folded from the left in double precision.
+Both sides are packed into blocks of bounded size, one row each. A document block is sent once for ``TASK_BLOCKS`` query blocks and stays
+in its task while these stream past; a pair of blocks is one matrix product, and each query's best are kept. A corpus against itself needs
+each pair of blocks once: its product serves the rows of both. Kept scores are folded from the left in double precision.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators.ranking import top_k
+from quillon.sources.shared import kept
 
 QUERY_ROWS, DOC_ROWS = 512, 8192
+#: Streamed blocks for which a resident block is sent once.
+TASK_BLOCKS = 32
 
 
 def packed(rows: DataFrame, key: str, vec: str, blocks: int) -> DataFrame:
@@ -50,26 +54,82 @@ def best_in_block(queries: np.ndarray, docs: np.ndarray, k: int, sim: str, same:
     return q, d, score / (qn[q] * dn[d]) if sim == "cos" else score
 
 
-def block_top_k(queries: DataFrame, docs: DataFrame, k: int, sim: str = "dot", exclude_self: bool = False, query_rows: int = QUERY_ROWS, doc_rows: int = DOC_ROWS) -> DataFrame:
+def met(resident: DataFrame, streamed: DataFrame, tasks: int) -> DataFrame:
+    """Rows (at, copy, block, blob) in tasks and in order: each resident block (at, copy, blob), marked by a null block, before the streamed ones (at, copy, block, blob) that it meets."""
+    both = resident.withColumn("block", F.lit(None).cast("long")).unionByName(streamed)
+    return both.repartition(max(1, tasks), "at", "copy").sortWithinPartitions("at", "copy", F.asc_nulls_first("block")).select("at", "copy", "block", "blob")
+
+
+def steps(n: int | Column) -> Column:
+    """One row for each whole number below ``n``."""
+    last = (F.lit(n) if isinstance(n, int) else n).cast("long") - 1
+    return F.explode(F.sequence(F.lit(0).cast("long"), last))
+
+
+def pairs_met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple, tuple]]:
+    """(resident, streamed, its contents, their contents) of what ``met`` deals; a streamed block without a resident one meets none."""
+    own, held = None, None
+    for batch in batches:
+        for at, copy, block, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            if block is None:
+                own, held = (at, copy), pickle.loads(blob.as_buffer())
+            elif own == (at, copy):
+                yield at, block, held, pickle.loads(blob.as_buffer())
+
+
+def block_top_k(queries: DataFrame, docs: DataFrame, k: int, sim: str = "dot", exclude_self: bool = False, query_rows: int = QUERY_ROWS, doc_rows: int = DOC_ROWS, n_docs: int | None = None) -> DataFrame:
     """(qid, docid, score, rank) of the k best docs (docid, doc_vec) of every query (qid, query_vec). Zero vectors have no cosine and are left out.
 
-    ``exclude_self`` leaves out the doc whose docid is the qid.
+    ``exclude_self`` leaves out the doc whose docid is the qid. Queries are computed once, and docs where their number is not given.
     """
-    n_queries, n_docs = queries.count(), docs.count()
-    qb, db = max(1, -(-n_queries // query_rows)), max(1, -(-n_docs // doc_rows))
-    left = packed(queries, "qid", "query_vec", qb).select(F.col("block").alias("q"), F.col("blob").alias("qs"), F.explode(F.sequence(F.lit(0), F.lit(db - 1))).alias("d"))
-    right = packed(docs, "docid", "doc_vec", db).select(F.col("block").alias("d"), F.col("blob").alias("ds"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("q"))
-    types = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *docs.schema.fields]}
-    qid_type = queries.schema["qid"].dataType.simpleString()
+    queries = kept(queries.select("qid", "query_vec"), "queries")
+    if n_docs is None:
+        docs = kept(docs.select("docid", "doc_vec"), "docs")
+        n_docs = docs.count()
+    qb, db = max(1, -(-queries.count() // query_rows)), max(1, -(-n_docs // doc_rows))
+    copies = -(-qb // TASK_BLOCKS)
+    resident = packed(docs, "docid", "doc_vec", db).select(F.col("block").alias("at"), steps(copies).alias("copy"), "blob")
+    streamed = packed(queries, "qid", "query_vec", qb).select(steps(db).alias("at"), F.pmod("block", F.lit(copies)).cast("long").alias("copy"), "block", "blob")
+    kind = queries.schema["qid"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qs, ds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (qids, q), (docids, d) = pickle.loads(qs), pickle.loads(ds)
-                ids = np.array(docids)
-                same = np.array(qids)[:, None] == ids[None] if exclude_self else None
-                a, b, s = best_in_block(q, d, k, sim, same)
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in a], pa.int64() if qid_type == "bigint" else pa.string()), pa.array(ids[b], pa.int64()), pa.array(s, pa.float64())], names=["qid", "docid", "score"])
-
-    found = left.join(right.hint("shuffle_merge"), ["q", "d"]).select("qs", "ds").mapInArrow(work, f"qid {qid_type}, docid {types['docid']}, score double")
+        for _, _, (docids, d), (qids, q) in pairs_met(batches):
+            ids = np.array(docids)
+            a, b, s = best_in_block(q, d, k, sim, np.array(qids)[:, None] == ids[None] if exclude_self else None)
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in a], pa.int64() if kind == "bigint" else pa.string()), pa.array(ids[b], pa.int64()), pa.array(s, pa.float64())], names=["qid", "docid", "score"])
+
+    found = met(resident, streamed, db * copies).mapInArrow(work, f"qid {kind}, docid bigint, score double")
     return top_k(found, k)
+
+
+def ring(blocks: DataFrame, n: int) -> DataFrame:
+    """``blocks`` (block, blob) as (at, block, blob): each of ``n`` blocks goes to those up to half a ring behind it, so every unordered pair, a block with itself included, meets once."""
+    half = n // 2
+    out = blocks.select("block", "blob", steps(half + 1).alias("behind")).withColumn("at", F.pmod(F.col("block") - F.col("behind"), F.lit(n)).cast("long"))
+    once = (F.col("behind") < half) | F.lit(n % 2 == 1) | (F.col("at") < half)  # opposite blocks of an even ring meet from one side
+    return out.where(once).select("at", "block", "blob")
+
+
+def self_top_k(docs: DataFrame, k: int, sim: str = "cos", doc_rows: int = DOC_ROWS, n_docs: int | None = None) -> DataFrame:
+    """(qid, docid, score, rank): the k best other docs of every doc (docid, doc_vec). Each pair of blocks is multiplied once, for the rows of both."""
+    if n_docs is None:
+        docs = kept(docs.select("docid", "doc_vec"), "docs")
+        n_docs = docs.count()
+    n = max(1, -(-n_docs // doc_rows))
+    blocks = packed(docs, "docid", "doc_vec", n)
+    copies = -(-(n // 2 + 1) // TASK_BLOCKS)
+    resident = blocks.select(F.col("block").alias("at"), steps(copies).alias("copy"), "blob")
+    streamed = ring(blocks, n).select("at", F.pmod("block", F.lit(copies)).cast("long").alias("copy"), "block", "blob")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, block, (own, a), (others, b) in pairs_met(batches):
+            left, right = np.array(own), np.array(others)
+            i, j, s = best_in_block(a, b, k, sim, left[:, None] == right[None])
+            found = [(left[i], right[j], s)]
+            if at != block:
+                j, i, s = best_in_block(b, a, k, sim, right[:, None] == left[None])
+                found.append((right[j], left[i], s))
+            for q, d, score in found:
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(score, pa.float64())], names=["qid", "docid", "score"])
+
+    return top_k(met(resident, streamed, n * copies).mapInArrow(work, "qid bigint, docid bigint, score double"), k)

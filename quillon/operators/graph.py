@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillon.functions.vec import similarity
-from quillon.operators.blocks import block_top_k
+from quillon.operators.blocks import self_top_k
 from quillon.operators.ranking import add_ranks, query_columns, top_k
-from quillon.sources.shared import kept
+from quillon.sources.shared import dropped, kept
 
 
-def corpus_graph(vectors: DataFrame, k: int = 16) -> DataFrame:
+def corpus_graph(vectors: DataFrame, k: int = 16, n_docs: int | None = None) -> DataFrame:
     """(docid, slot, neighbour, weight): each document's k nearest by cosine, itself left out, best first. Exact; lists may be shorter."""
-    rows = vectors.select("docid", "doc_vec")
-    found = block_top_k(rows.select(F.col("docid").alias("qid"), F.col("doc_vec").alias("query_vec")), rows, k, "cos", exclude_self=True)
+    found = self_top_k(vectors.select("docid", "doc_vec"), k, "cos", n_docs=n_docs)
     return found.select(F.col("qid").alias("docid"), F.col("rank").alias("slot"), F.col("docid").alias("neighbour"), F.col("score").alias("weight"))
 
 
@@ -58,7 +57,8 @@ def ladr_proactive(seeds: DataFrame, vectors: DataFrame, graph: DataFrame, k: in
 
 def ladr_adaptive(seeds: DataFrame, vectors: DataFrame, graph: DataFrame, k: int = 16, depth: int = 100, num_results: int = 1000, max_hops: int | None = None, budget: int | None = None, sim: str = "dot") -> DataFrame:
     """Seeds, then again and again the neighbours of the ``depth`` best so far, until these bring nothing new, or hops or budget are used up. A budget keeps the smallest docids."""
-    near = truncated(graph, k).select(F.col("docid").alias("at"), "neighbour")
+    near = kept(truncated(graph, k).select(F.col("docid").alias("at"), "neighbour"), "near")  # read in every hop, as seeds and queries are
+    seeds = kept(seeds, "seeds")
     queries = queries_of(seeds)
     start = seeds.select("qid", "docid").distinct()
     if budget is not None:
@@ -73,9 +73,12 @@ def ladr_adaptive(seeds: DataFrame, vectors: DataFrame, graph: DataFrame, k: int
             new = new.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy("docid"))).join(room, "qid").where(F.col("n") <= F.col("room")).select("qid", "docid")
         new = kept(scored(new, queries, vectors, sim, None).select("qid", "docid", "score"), "ladr")
         if not new.head(1):
+            dropped(new)
             break
-        have = kept(have.unionByName(new), "ladr")
+        old, have = have, kept(have.unionByName(new), "ladr")
+        dropped(old, new)
         hop += 1
+    dropped(near)
     return top_k(have, num_results).join(queries, "qid").join(vectors.drop("doc_vec"), "docid")
 
 
@@ -83,7 +86,7 @@ def turns(states: DataFrame, vectors: DataFrame, graph: DataFrame, sim: str, pic
     """Queries that walk the graph side by side: (qid, query_vec, state), a row each.
 
     In a turn each query picks documents from its state; joins fetch their vectors' scores and neighbours for all queries at once; and the
-    state takes them in. A state holds what the query has scored, never the graph. Ends when no query picks any, or after ``most`` turns.
+    state takes them in. A state holds what the query has scored, never the graph. Ends when no query picks any; raises after ``most`` turns.
     """
     near = graph.groupBy("docid").agg(F.array_sort(F.collect_list(F.struct("slot", "neighbour"))).alias("near")).select("docid", F.transform("near", lambda x: x["neighbour"]).alias("near"))
     near = kept(near, "near")
@@ -108,11 +111,13 @@ def turns(states: DataFrame, vectors: DataFrame, graph: DataFrame, sim: str, pic
         chosen = kept(states.mapInPandas(choose, schema), "turn")
         asked = chosen.select("qid", "query_vec", F.explode("batch").alias("docid"))
         if not asked.head(1):
+            dropped(near)
             return chosen.drop("batch")
         got = asked.join(vectors.select("docid", "doc_vec"), "docid").join(near, "docid", "left").withColumn("score", similarity(sim)("query_vec", "doc_vec"))
         by = got.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("docid", "score", "near"))).alias("got"))
-        states = kept(chosen.drop("batch").join(by, "qid", "left").mapInPandas(absorb, schema.rpartition(",")[0]), "turn")
-    return states
+        old, states = states, kept(chosen.drop("batch").join(by, "qid", "left").mapInPandas(absorb, schema.rpartition(",")[0]), "turn")
+        dropped(old, chosen)
+    raise RuntimeError(f"queries still walk after {most} turns")
 
 
 def results_of(states: DataFrame, k: int) -> DataFrame:

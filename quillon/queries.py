@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as texts
 from quillon.functions import vec
-from quillon.operators import diversity, encode, evaluation, graph, inverted, pq, prf, training
+from quillon.operators import diversity, encode, evaluation, graph, interaction, inverted, pq, prf, sparse, training
+from quillon.operators.descent import approximate_graph
 from quillon.operators.blocks import block_top_k
 from quillon.operators.ranking import cut, memoised, top_k
 from quillon.sources.codes import CodeStore
-from quillon.sources.shared import shared_dir
+from quillon.sources.graphs import graph_of
+from quillon.sources.shared import kept, shared_dir
 from quillon.sources.store import VectorStore
 
 K, EVERY, SCALE = 10, 50, 6
@@ -215,8 +217,9 @@ GRAPH = lambda k: f"""g AS (SELECT a.docid, b.docid AS neighbour, list_inner_pro
     FROM c a JOIN c b ON a.docid <> b.docid QUALIFY slot < {k})"""
 
 
-def near_graph(s, d):
-    return graph.corpus_graph(corpus(s, d), GRAPH_K)
+def near_graph(s, d, k=GRAPH_K, root=None):
+    """The graph, stored and read again."""
+    return graph_of(corpus(s, d), root or f"{shared_dir(s)}/graphs-{uuid.uuid4().hex}", k)
 
 
 @query(f"WITH {C}, {GRAPH(GRAPH_K)} SELECT docid, slot, neighbour, round(weight, 6) AS weight FROM g")
@@ -226,7 +229,16 @@ def corpus_graph(s, d):
 
 @query(f"WITH {C}, {GRAPH(3)} SELECT docid, slot, neighbour, round(weight, 6) AS weight FROM g")
 def corpus_graph_truncated(s, d):
-    return out(graph.truncated(near_graph(s, d), 3), "docid", "slot", "neighbour", "weight")
+    """Of two stored graphs the smaller one that is large enough is cut off."""
+    root = f"{shared_dir(s)}/graphs-{uuid.uuid4().hex}"
+    near_graph(s, d, GRAPH_K + 4, root)
+    near_graph(s, d, 5, root)
+    return out(near_graph(s, d, 3, root), "docid", "slot", "neighbour", "weight")
+
+
+@query()
+def approx_graph(s, d):
+    return out(approximate_graph(corpus(s, d), GRAPH_K), "docid", "slot", "neighbour", "weight")
 
 
 def ladr_sql(hops: int, budget: int | None) -> str:
@@ -376,6 +388,56 @@ def sparse_tokens(s, d):
     return out(encode.token_weights(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "token", "weight")
 
 
+TOKENS = "unnest(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) AS token"
+SHARES = lambda name, key, table: f"{name}t AS (SELECT {key}, {TOKENS} FROM {table}), {name}n AS (SELECT {key}, token, count(*) AS k FROM {name}t GROUP BY ALL), {name} AS (SELECT {key}, token, k / sum(k) OVER (PARTITION BY {key}) AS w FROM {name}n)"
+
+
+@query(f"""WITH {SHARES('dw', 'doc_id', 'documents')}, {SHARES('bw', 'item_id', 'benchmark')}, z AS (SELECT item_id, doc_id, round(sum(bw.w * dw.w), 9) AS score FROM bw JOIN dw USING (token) GROUP BY ALL)
+    SELECT 'b' || item_id AS qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM z QUALIFY rank < 10""")
+def sparse_search(s, d):
+    """Benchmark items against all documents by the shares of their tokens."""
+    docs = encode.token_weights(table(s, d, "documents").select(F.col("doc_id").alias("docid"), "text"), "docid", "text")
+    items = encode.token_weights(table(s, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("qid"), "text"), "qid", "text")
+    found = sparse.sparse_search(items, sparse.sparse_index(kept(docs, "weights")), K)
+    return out(found.withColumnRenamed("docid", "doc_id"), "qid", "doc_id", "score", "rank")
+
+
+LATE_LISTS, LATE_PROBES = 16, 3
+PIECES = lambda v: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda m: F.slice(v, (m * (F.size(v) / PARTS)).cast("int") + 1, (F.size(v) / PARTS).cast("int")))
+
+
+def token_vectors(s, d):
+    """Each vector cut into ``PARTS``, as the vectors of a text."""
+    docs = corpus(s, d).select("docid", PIECES(F.col("doc_vec")).alias("doc_embs"))
+    asked = docs.where(F.col("docid") % EVERY == 0).select(F.concat(F.lit("q"), F.col("docid").cast("string")).alias("qid"), F.col("doc_embs").alias("query_embs"))
+    return asked, docs
+
+
+def late_sql(probes: int) -> str:
+    cut = lambda v: f"{v}[m * (len({v}) // {PARTS}) + 1 : (m + 1) * (len({v}) // {PARTS})]"
+    return f"""WITH {C}, {Q}, tk AS (SELECT docid, m, {cut('v')} AS x FROM c, (SELECT unnest(range({PARTS})) AS m)), tq AS (SELECT qid, m, {cut('qv')} AS y FROM q, (SELECT unnest(range({PARTS})) AS m)),
+    ce AS (SELECT row_number() OVER (ORDER BY md5('42|' || docid || '.' || m), docid || '.' || m) - 1 AS list, x AS cv FROM tk QUALIFY list < {LATE_LISTS}),
+    dl AS (SELECT DISTINCT docid, list FROM (SELECT docid, m, arg_max(list, (list_inner_product(x, cv), -list)) AS list FROM tk, ce GROUP BY ALL)),
+    ql AS (SELECT DISTINCT qid, list FROM (SELECT qid, m, list FROM tq, ce QUALIFY row_number() OVER (PARTITION BY qid, m ORDER BY list_inner_product(y, cv) DESC, list) <= {probes})),
+    cd AS (SELECT DISTINCT qid, docid FROM ql JOIN dl USING (list)), be AS (SELECT qid, docid, tq.m, max(list_inner_product(y, x)) AS best FROM cd JOIN tq USING (qid) JOIN tk USING (docid) GROUP BY ALL),
+    z AS (SELECT qid, docid, round(list_sum(list(best ORDER BY m)), 9) AS score FROM be GROUP BY ALL)
+    SELECT qid, docid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) - 1 AS rank FROM z QUALIFY rank < 10"""
+
+
+@query(late_sql(LATE_PROBES))
+def late_interaction(s, d):
+    """A stored set of token vectors, searched by a few lists for each vector of a query."""
+    asked, docs = token_vectors(s, d)
+    found = interaction.TokenStore.write(docs, f"{shared_dir(s)}/tokens-{uuid.uuid4().hex}", LATE_LISTS).retrieve(asked, K, LATE_PROBES)
+    return out(found, "qid", "docid", "score", "rank")
+
+
+@query(late_sql(LATE_LISTS))
+def late_interaction_all(s, d):
+    asked, docs = token_vectors(s, d)
+    return out(interaction.late_interaction(asked, docs, interaction.token_centroids(docs, LATE_LISTS), K, LATE_LISTS), "qid", "docid", "score", "rank")
+
+
 @query(r"""WITH w AS (SELECT doc_id AS parent, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
     i AS (SELECT parent, w, unnest(range(greatest(ceil((len(w) - 50) / 25), 0)::BIGINT + 1)) AS n FROM w WHERE len(w) > 0)
     SELECT parent, parent || '%p' || n AS docno, array_to_string(w[n * 25 + 1 : n * 25 + 50], ' ') AS text FROM i""")

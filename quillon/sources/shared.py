@@ -20,12 +20,32 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Folders of kept tables that are still there, by the DataFrame that reads them.
+_PLACES: dict[int, tuple[DataFrame, str]] = {}
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written and read again, which cuts its lineage and survives lost executors. The folder goes when the driver ends."""
+    """``df`` written and read again, which cuts its lineage and survives lost executors. The folder goes by ``dropped``, or when the driver ends."""
     place = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(place)
     atexit.register(removed, df.sparkSession, place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    out = df.sparkSession.read.schema(df.schema).parquet(place)
+    _PLACES[id(out)] = (out, place)
+    return out
+
+
+def backed(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, which reads the ``kept`` table: dropping ``df`` drops the table's folder."""
+    _PLACES[id(df)] = (df, _PLACES.pop(id(table))[1])
+    return df
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes the folders of ``kept`` tables from which nothing will be read again; other tables are left alone."""
+    for table in tables:
+        if id(table) in _PLACES:
+            own, place = _PLACES.pop(id(table))
+            removed(own.sparkSession, place)
 
 
 def removed(spark: SparkSession, place: str) -> None:

@@ -1,11 +1,11 @@
 """The vector store: a Parquet dataset of (docid, docno, doc_vec) and a small table of its properties.
 
-docid is dense, 0 to n - 1, in the order of an explicit key. What a stream appends goes on from n, in a partition for each batch.
+docid is dense, 0 to n - 1, in the order of an explicit key. What a stream appends goes on from n, in a partition for each batch. A batch that
+replaces documents holds their new rows, and beside them which versions these supersede; reading leaves superseded rows out.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,44 +15,74 @@ from pyspark.sql import types as T
 from quillon.functions.vec import similarity
 from quillon.operators.blocks import block_top_k
 from quillon.operators.ranking import add_ranks, top_k
-from quillon.sources.shared import kept
+from quillon.sources.properties import read_properties, versions, write_properties
+from quillon.sources.shared import backed, dropped, kept, removed
 
 FORMAT = "quillon-vectors"
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that no table has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_docids(docs: DataFrame, order: str) -> DataFrame:
     """Dense ids by ``order``, and by a hash of the row where that ties: a range sort, one count a partition, offsets; no single task sees all rows.
 
     The sorted rows are written once with their places, so a lost executor cannot number them anew.
     """
     spark = docs.sparkSession
+    part, at, first, tied = (unused(x, docs) for x in ("part", "at", "first", "tie"))
     tie = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    ordered = docs.withColumn("_tie", tie).repartitionByRange(order, "_tie").sortWithinPartitions(order, "_tie")
-    placed = kept(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_tie"), "docids")
+    ordered = docs.withColumn(tied, tie).repartitionByRange(order, tied).sortWithinPartitions(order, tied)
+    placed = kept(ordered.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop(tied), "docids")
     offsets, seen = [], 0
-    for r in placed.groupBy("_part").count().orderBy("_part").collect():  # one row a partition
-        offsets.append((r["_part"], seen))
-        seen += r["count"]
-    table = spark.createDataFrame(offsets, "_part int, _first long")
-    return placed.join(F.broadcast(table), "_part").withColumn("docid", F.col("_first") + F.col("_at")).drop("_part", "_first", "_at")
+    for r in placed.groupBy(part).agg(F.count("*").alias("rows")).orderBy(part).collect():  # one row a partition
+        offsets.append((r[part], seen))
+        seen += r["rows"]
+    table = spark.createDataFrame(offsets, f"`{part}` int, `{first}` long")
+    out = placed.join(F.broadcast(table), part).withColumn("docid", F.col(first) + F.col(at)).drop(part, first, at)
+    return backed(out, placed)
+
+
+def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
+    """The properties: count of rows to be read, next docid, size, sim; streams, for each its last batch as [number, first docid, rows, done]; and replaces, whether batches supersede rows."""
+    write_properties(spark, path, {"format": FORMAT, **meta})
 
 
-def write_meta(spark: SparkSession, path: str, count: int, size: int, sim: str) -> None:
-    meta = json.dumps({"format": FORMAT, "count": count, "size": size, "sim": sim})
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+def new_meta(sim: str, count: int = 0, size: int = 0) -> dict:
+    return {"count": count, "next": count, "size": size, "sim": sim, "streams": {}, "replaces": False}
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
-    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-    if meta["format"] != FORMAT:
-        raise ValueError(f"{path} holds {meta['format']}")
+    meta = read_properties(spark, path)
+    if meta is None or meta.get("format") != FORMAT:
+        raise ValueError(f"{path} holds {meta and meta['format']}")
     return meta
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a store: its table of properties is written last."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
-    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place))
+    """Whether there is a store: its properties are written last."""
+    return bool(versions(spark, path))
+
+
+VECTORS = T.StructType([T.StructField("docid", T.LongType()), T.StructField("docno", T.StringType()), T.StructField("doc_vec", T.ArrayType(T.FloatType())), T.StructField("version", T.TimestampType()), T.StructField("batch", T.StringType())])
+
+
+def rows_of(spark: SparkSession, path: str, meta: dict) -> DataFrame:
+    """(docid, docno, doc_vec, version) of all rows of finished batches that none supersedes; version is null where rows have none."""
+    under_way = [f"{stream}-{last[0]}" for stream, last in meta["streams"].items() if not last[3]]
+    rows = spark.read.schema(VECTORS).parquet(f"{path}/vectors")
+    rows = rows.where(~F.col("batch").isin(under_way)) if under_way else rows
+    rows = rows.select("docid", "docno", "doc_vec", "version")
+    if not meta["replaces"]:
+        return rows
+    gone = spark.read.schema("docid long, version timestamp, batch string").parquet(f"{path}/superseded")
+    gone = (gone.where(~F.col("batch").isin(under_way)) if under_way else gone).select("docid", "version")
+    return rows.join(gone, (rows["docid"] == gone["docid"]) & rows["version"].eqNullSafe(gone["version"]), "left_anti")
 
 
 @dataclass(frozen=True)
@@ -71,15 +101,17 @@ class VectorStore:
         if n and (low != high or low <= 0):
             raise ValueError(f"vectors of different sizes: {low} to {high}")
         save = "errorifexists" if mode == "create" else "overwrite"
-        with_docids(docs.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec")), order).select("docid", "docno", "doc_vec", F.lit(-1).alias("batch")).write.mode(save).partitionBy("batch").parquet(f"{path}/vectors")
-        write_meta(docs.sparkSession, path, n, high or 0, sim)
+        numbered = with_docids(docs.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec")), order)
+        numbered.select("docid", "docno", "doc_vec", F.lit("written").alias("batch")).write.mode(save).partitionBy("batch").parquet(f"{path}/vectors")
+        dropped(numbered)
+        removed(docs.sparkSession, f"{path}/superseded")
+        write_meta(docs.sparkSession, path, new_meta(sim, n, high or 0))
         return cls.open(docs.sparkSession, path)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorStore:
         meta = read_meta(spark, path)
-        schema = T.StructType([T.StructField("docid", T.LongType()), T.StructField("docno", T.StringType()), T.StructField("doc_vec", T.ArrayType(T.FloatType()))])
-        return cls(spark.read.schema(schema).parquet(f"{path}/vectors").select("docid", "docno", "doc_vec"), meta["sim"], meta["count"])
+        return cls(rows_of(spark, path, meta).select("docid", "docno", "doc_vec"), meta["sim"], meta["count"])
 
     def __len__(self) -> int:
         return self.vectors.count() if self.count is None else self.count
@@ -104,7 +136,7 @@ class VectorStore:
 
     def retrieve(self, queries: DataFrame, k: int = 1000, drop_query_vec: bool = False) -> DataFrame:
         """The k best docs of every query (qid, query_vec, ...): query columns, docno, docid, score, rank. All docs if fewer."""
-        found = block_top_k(queries.select("qid", "query_vec"), self.vectors, k, self.sim)
+        found = block_top_k(queries.select("qid", "query_vec"), self.vectors, k, self.sim, n_docs=self.count)
         out = queries.join(found.join(self.docnos(), "docid"), "qid")
         return out.drop("query_vec") if drop_query_vec else out
 
