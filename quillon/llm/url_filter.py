@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import UPPER, lower_ascii
+from quillon.llm.common import UPPER, lower_ascii, unused
 
 STRICT, SOFT = 1.0, 0.4
 #: Terms of the vocabulary. One strict term rejects a url; a soft one only with others.
@@ -80,7 +80,8 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Iterable[tuple[str, s
     names = ("host", "path", "rule", "n_strict", "n_soft", "verdict")
     u = F.col(f"`{url}`")
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in names]
-    out = pages.select(*kept, host_of(u).alias("host"), path_of(u).alias("path"), url_hits(u, vocabulary).alias("_hits"))
-    judged = F.when((F.col("_hits.n_strict") > 0) | (F.col("_hits.n_soft") >= least_soft), F.lit("block")).otherwise(F.lit("allow"))
-    out = out.withColumn("_rule", rule_for(F.col("host"), F.col("path"), list(rules)))
-    return out.select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), F.col("_hits.n_strict").alias("n_strict"), F.col("_hits.n_soft").alias("n_soft"), F.coalesce("_rule.verdict", judged).alias("verdict"))
+    found, rule = F.col(hit := unused("hits", pages)), F.col(fits := unused("fitting", pages))
+    out = pages.select(*kept, host_of(u).alias("host"), path_of(u).alias("path"), url_hits(u, vocabulary).alias(hit))
+    judged = F.when((found["n_strict"] > 0) | (found["n_soft"] >= least_soft), F.lit("block")).otherwise(F.lit("allow"))
+    out = out.withColumn(fits, rule_for(F.col("host"), F.col("path"), list(rules)))
+    return out.select(*kept, "host", "path", rule["rule"].alias("rule"), found["n_strict"].alias("n_strict"), found["n_soft"].alias("n_soft"), F.coalesce(rule["verdict"], judged).alias("verdict"))

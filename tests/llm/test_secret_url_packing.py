@@ -104,6 +104,12 @@ def test_secret_query_gives_a_row_per_document(spark):
     assert got.count() == spark.read.parquet(f"{d}/documents.parquet").count() and got.where("spans <> ''").count() > 0
 
 
+def test_url_filter_keeps_columns_of_any_name(spark):
+    rows = [(1, "http://a.com/casino/x", "h", "f", "_"), (2, None, "h", "f", "_")]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string, hits string, fitting string, _rule string"), rules=[("a.com", "/", "allow")]).collect()
+    assert [(r["hits"], r["fitting"], r["_rule"], r["rule"], r["n_strict"], r["verdict"]) for r in got] == [("h", "f", "_", "a.com/", 1, "allow"), ("h", "f", "_", None, 0, "allow")]
+
+
 def test_url_rules_and_vocabulary(spark):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow")]
     cases = {
