@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import crc_mod, remove, shared_dir
+from quillon.llm.common import crc_mod, discard, remove, shared_dir, written
 from quillon.llm.fill_middle import fill_in_middle, restored
 from quillon.llm.hnsw import nearest_neighbours
 from quillon.llm.lm import score_language
@@ -156,8 +156,10 @@ for _name in ("own", "text", "bare"):
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
-    out = page_captures(assembled(read_warc(spark, path)))
+    records = written(read_warc(spark, path).drop("payload"), "warc-records")  # parsed once; sizes and digests are those of the payloads read
     remove(spark, path)
+    out = page_captures(assembled(records))
+    discard(records)
     return out
 
 

@@ -199,7 +199,7 @@ def assembled(records: DataFrame) -> DataFrame:
     """One row a capture: capture_id, response (struct of a response, revisit or resource record), requests and metadata (arrays of structs).
 
     A record belongs to the capture of a response that it names as concurrent, that names it, or that a request names which it names or
-    which names it; of several, the least by name. Requests and metadata records that reach no response are left out, as no capture has them.
+    which names it; of several, the least by name. The payload is carried where records have it. Requests and metadata records that reach no response are left out, as no capture has them.
     """
     c = F.col
     mains = records.where(c("type").isin("response", "revisit", "resource"))
@@ -217,7 +217,7 @@ def assembled(records: DataFrame) -> DataFrame:
     notes = others.where(c("type") == "metadata")
     noted = notes.join(belong(notes, wider), c("record_id") == c("own")).drop("own")
     shape = lambda df, name, *cols: df.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("record_id", *cols))).alias(name))
-    response = mains.select(c("record_id").alias("capture_id"), F.struct("type", "refers_to", "target_uri", "date", "http", "declared", "payload", "payload_bytes", "payload_digest").alias("response"))
+    response = mains.select(c("record_id").alias("capture_id"), F.struct("type", "refers_to", "target_uri", "date", "http", "declared", *(["payload"] if "payload" in records.columns else []), "payload_bytes", "payload_digest").alias("response"))
     pairs = F.transform(F.map_entries("fields"), lambda e: F.concat_ws(": ", e["key"], e["value"]))
     return response.join(shape(asked, "requests", "target_uri", "date", "http"), "capture_id", "left").join(shape(noted.withColumn("lines", pairs), "metadata", "date", "lines"), "capture_id", "left")
 
