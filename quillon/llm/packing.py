@@ -26,6 +26,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RANK_PARTS = 256
 #: Bounds of the search, the same for any number of pieces: fillings of a branch, steps to find them, branches after the first leaf.
 FILLINGS, STEPS, NODES = 4, 400, 1500
+#: Steps of the fractional packing at most; its bound holds wherever it ends.
+PIVOTS = 4000
+#: Share of sequences above the first bound that is not worth a fractional packing.
+TOLERANCE = 1e-3
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -104,17 +108,124 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
     return int(max(-(-total[capacity] // capacity), (big + middle + np.maximum(0, -(-small // capacity))).max()))
 
 
-def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def richest(counts: np.ndarray, room: int, price: np.ndarray) -> tuple[tuple[int, int], ...]:
+    """A filling of ``room`` of high worth: the longest pieces first among those of the most worth for their length, as (length, count) pairs, maximal."""
+    own: dict[int, int] = {}
+    lengths = np.flatnonzero(counts[: room + 1])[::-1]
+    for x in lengths[np.argsort(-(price[lengths] / np.maximum(lengths, 1)), kind="stable")]:
+        n = min(int(counts[x]), room // int(x))
+        if n:
+            own[int(x)] = n
+            room -= n * int(x)
+    return tuple(sorted(own.items(), reverse=True))
+
+
+class Relaxation:
+    """Fractional sequences for counted lengths: the linear program over all fillings, solved by making fillings as they are needed.
+
+    ``price`` says what a piece of each length is worth at most, in sequences, so that no filling is worth more than one; any such prices
+    bound the number of sequences from below. ``columns`` are the fillings in use, ``amounts`` how often. A basis of at most ``capacity``
+    lengths is all there is, whatever the number of pieces.
+    """
+
+    def __init__(self, counts: np.ndarray, capacity: int, pivots: int = PIVOTS, gap: float = 2e-4) -> None:
+        self.lengths = np.flatnonzero(counts)
+        self.demand = counts[self.lengths].astype(float)
+        m, fits = len(self.lengths), capacity // self.lengths
+        self.columns = np.diag(fits).astype(np.int64)  # column j is the j-th filling
+        self.amounts, inverse = self.demand / fits, np.diag(1.0 / fits)
+        self.bound, self.price = 0.0, np.zeros(len(counts))
+        for _ in range(pivots):
+            y = inverse.sum(0)
+            value, column = self.best_filling(np.maximum(y, 0), capacity)
+            floor = float(np.maximum(y, 0) @ self.demand) / max(value, 1.0)
+            if floor > self.bound:
+                self.bound = floor
+                self.price[self.lengths] = np.maximum(y, 0) / max(value, 1.0)
+            total = self.amounts.sum()
+            if value <= 1 + 1e-9 or np.ceil(total - 1e-6) <= np.ceil(self.bound - 1e-6) or total <= self.bound * (1 + gap):
+                break
+            step = inverse @ column
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(step > 1e-9, self.amounts / step, np.inf)
+            out = int(ratio.argmin())
+            self.amounts = np.maximum(0, self.amounts - ratio[out] * step)
+            self.amounts[out] = ratio[out]
+            self.columns[:, out] = column
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+
+    def best_filling(self, y: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+        """The filling of the highest worth at the prices, and that worth."""
+        best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        upto = np.searchsorted(self.lengths, np.arange(capacity + 1), "right")
+        for c in range(int(self.lengths[0]), capacity + 1):
+            worth = best[c - self.lengths[: upto[c]]] + y[: upto[c]]
+            i = int(worth.argmax())
+            if worth[i] > best[c - 1]:
+                best[c], took[c] = worth[i], i
+            else:
+                best[c] = best[c - 1]
+        column, c = np.zeros(len(self.lengths), np.int64), capacity
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+            else:
+                column[took[c]] += 1
+                c -= int(self.lengths[took[c]])
+        return float(best[capacity]), column
+
+    def least(self) -> int:
+        return int(np.ceil(self.bound - 1e-6))
+
+    def whole(self) -> tuple[list[Pattern], np.ndarray]:
+        """The whole parts of the fillings in use as patterns, and the counts that these leave over."""
+        rest, out = self.demand.astype(np.int64).copy(), []
+        for j in np.argsort(-self.amounts, kind="stable"):
+            column = self.columns[:, j]
+            used = column > 0
+            times = int(min(np.floor(self.amounts[j] + 1e-9), (rest[used] // column[used]).min()))
+            if times:
+                rest -= times * column
+                out.append(Pattern(times, tuple((int(self.lengths[i]), int(column[i])) for i in np.flatnonzero(used)[::-1])))
+        counts = np.zeros(len(self.price), np.int64)
+        counts[self.lengths] = rest
+        return out, counts
+
+
+def bins_of(patterns: list[Pattern]) -> int:
+    return sum(p.times for p in patterns)
+
+
+def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, tolerance: float = TOLERANCE) -> list[Pattern]:
     """Sequences for ``counts[length]`` pieces of each length, as patterns.
 
-    Depth first: the longest piece left gets each undominated filling in turn, best fit first, and a filling is used as often as the counts
-    allow or, as a second branch, once. So the first leaf is the best-fit packing, and later ones replace it as incumbent only with fewer
-    sequences. A branch ends when the sequences so far and the lower bound of the rest, that is its unavoidable waste, cannot beat the
-    incumbent; the search ends when the incumbent meets the lower bound, the tree is done, or ``nodes`` branches follow the first leaf.
+    The best-fit packing is the first incumbent. Where it misses the lower bound by more than ``tolerance``, the fractional packing gives a stronger bound and prices;
+    its whole fillings are kept, and what they leave over is completed bin by bin, once by waste and once by price. The fewest sequences stay.
     """
     counts = np.asarray(counts, np.int64).copy()
     counts[0] = 0
-    bound = least_bins(counts, capacity)
+    best = completed(counts, capacity, nodes)
+    if bins_of(best) > least_bins(counts, capacity) * (1 + tolerance):
+        relaxed = Relaxation(counts, capacity)
+        kept, rest = relaxed.whole()
+        for price in (None, relaxed.price):
+            if bins_of(best) > relaxed.least():
+                best = min(best, kept + completed(rest, capacity, nodes, price, relaxed.least() - bins_of(kept)), key=bins_of)
+    return best
+
+
+def completed(counts: np.ndarray, capacity: int, nodes: int, price: np.ndarray | None = None, bound: int = 0) -> list[Pattern]:
+    """Bin completion: depth first, the longest piece left gets each undominated filling in turn, best fit first (or, with prices, the most worth first).
+
+    A filling is used as often as the counts allow or, as a second branch, once. So the first leaf is the best-fit packing, and later ones
+    replace it as incumbent only with fewer sequences. A branch ends when the sequences so far and the lower bound of the rest, that is its
+    unavoidable waste or worth, cannot beat the incumbent; the search ends when the incumbent meets the lower bound, the tree is done, or
+    ``nodes`` branches follow the first leaf.
+    """
+    least = lambda state: max(least_bins(state, capacity), 0 if price is None else int(np.ceil(price @ state - 1e-6)))
+    bound = max(bound, least(counts))
     best: list[Pattern] = []
     best_bins = np.iinfo(np.int64).max
     stack: list[tuple[np.ndarray, tuple | None, int, Pattern | None]] = [(counts, None, 0, None)]
@@ -132,13 +243,16 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
             continue
         if best:
             seen += 1
-            if used + least_bins(state, capacity) >= best_bins:
+            if used + least(state) >= best_bins:
                 continue
         top = int(longest[-1])
         rest = state.copy()
         rest[top] -= 1
         children = []
-        for way in fillings(rest, capacity - top):
+        ways = fillings(rest, capacity - top)
+        if price is not None:
+            ways = sorted({*ways, richest(rest, capacity - top, price)}, key=lambda way: -sum(price[x] * n for x, n in way))
+        for way in ways:
             filling = dict(way)
             filling[top] = filling.get(top, 0) + 1
             often = min(int(state[x]) // n for x, n in filling.items())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quillon.llm.common import doc_groups
-from quillon.llm.packing import bin_completion, least_bins, pack_documents
+from quillon.llm.packing import CAPACITY, Relaxation, bin_completion, bins_of, least_bins, pack_documents
 from quillon.llm.secret_scan import mask_secrets, scan_secrets
 from quillon.llm.subword import ByteBpe
 from quillon.llm.url_filter import filter_urls
@@ -237,3 +237,39 @@ def test_rows_without_an_id_and_clashing_names(spark):
     out = mask_secrets(docs)
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, "5:************", "x", "k", "s"), (5, "*" * 12, "y", None, "t"), rows[2]], key=str)
+
+
+LENGTHS = {
+    "300 to 399": lambda g: g.integers(300, 400, 3000),
+    "eight lengths": lambda g: g.choice([130, 190, 260, 333, 345, 400, 512, 700], 3000),
+    "200 to 700": lambda g: g.integers(200, 701, 150),
+    "about a third": lambda g: g.integers(330, 360, 5000),
+    "about a half": lambda g: g.integers(480, 560, 4000),
+    "skewed": lambda g: np.minimum(CAPACITY, g.geometric(1 / 300, 20000)),
+}
+
+
+@pytest.mark.parametrize("shape", sorted(LENGTHS))
+def test_packing_is_near_the_fractional_bound(shape):
+    counts = np.bincount(LENGTHS[shape](np.random.default_rng(0)), minlength=CAPACITY + 1)
+    patterns = bin_completion(counts)
+    got = np.zeros_like(counts)
+    for p in patterns:
+        assert sum(x * n for x, n in p.filling) <= CAPACITY
+        for x, n in p.filling:
+            got[x] += n * p.times
+    assert (got == counts).all()
+    bound = least_bins(counts, CAPACITY)
+    if bins_of(patterns) > bound * 1.001:
+        bound = max(bound, Relaxation(counts, CAPACITY).least())
+    assert bound <= bins_of(patterns) <= 1.005 * bound
+    assert shape != "300 to 399" or bins_of(patterns) <= 1131
+
+
+def test_fractional_bound_never_exceeds_the_optimum():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sizes = rng.integers(20, 100, 9)
+        counts = np.bincount(sizes, minlength=129)
+        assert Relaxation(counts, 128).least() <= bins_of(bin_completion(counts, 128, tolerance=0.0))
+        assert max(Relaxation(counts, 128).least(), least_bins(counts, 128)) >= -(-int(sizes.sum()) // 128)
