@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,16 +27,60 @@ GOOD, JUNK, NONE = 1, -1, 0
 #: Words of a window in which distinct ones are counted.
 SPAN = 400
 LABELLERS = ("adjacent repeats", "distinct words", "capitals", "trailing signs", "delimiters", "letters", "sentence ends", "word length", "repeated lines")
+#: A run between white space that is longer is cut into pieces; one that is much longer is no word of any spaced script.
+LONG_WORD, LONG_RUN = 24, 40
+#: Pieces of a long run, and how far the next one begins.
+PIECE, STEP = 12, 6
+#: Scripts written without spaces, in pieces of two and of three characters; their signs.
+PAIRED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TRIPLED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff"
+WIDE_SIGNS = "\u3000-\u303f\uff01-\uff0f\uff1a-\uff20"
+UNUSUAL = re.compile(rf"\S{{{LONG_WORD + 1},}}|[{PAIRED}{TRIPLED}]")
+SEGMENT = re.compile(rf"([{PAIRED}]+)|([{TRIPLED}]+)|[{WIDE_SIGNS}]|[^{PAIRED}{TRIPLED}{WIDE_SIGNS}]+")
+TRIPLES = re.compile(f"[{TRIPLED}]+")
+#: How far back a piece of a run is looked for.
+LAGS = 8
 RUN = re.compile(r"(.)\1+")
 SIGNS = re.compile(r"[^\w\s.,;:?'\"()»«…-]$|!!$")
 
 
 def shape(word: str) -> str:
     """Letters by case, digits as 9, signs as they are; runs are one."""
-    out = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    out = "".join("X" if c.isupper() else "x" if is_letter(c) else "9" if c.isdigit() else c for c in word)
     return RUN.sub(r"\1", out)
 
 
+def is_letter(c: str) -> bool:
+    """Letters, and the vowel signs and tone marks of scripts that write them as marks."""
+    return c.isalpha() or (c > "\x7f" and unicodedata.category(c)[0] == "M")
+
+
+def words_of(text: str) -> tuple[list[str], np.ndarray, int]:
+    """(words, which of them are pieces of a run, characters in long runs).
+
+    Words lie between white space. A run that holds a script without spaces, or is longer than a word, is cut where the script changes; a
+    stretch of such a script becomes overlapping pieces of two or three characters, any other long stretch pieces of ``PIECE``.
+    """
+    words = text.split()
+    if not UNUSUAL.search(text):
+        return words, np.zeros(len(words), bool), 0
+    out, cut, long = [], [], 0
+    for word in words:
+        if not UNUSUAL.search(word):
+            out.append(word)
+            cut.append(False)
+            continue
+        for m in SEGMENT.finditer(word):
+            s, size = m[0], 2 if m[1] else 3 if m[2] else PIECE
+            step = 1 if size < PIECE else STEP
+            whole = len(s) <= (size if size < PIECE else LONG_WORD)
+            pieces = [s] if whole else [s[i : i + size] for i in range(0, len(s) - size + step, step)]
+            out += pieces
+            cut += [size < PIECE or not whole] * len(pieces)
+            long += len(s) if size == PIECE and len(s) > LONG_RUN else 0
+    return out, np.array(cut, bool), long
+
+
 def distinct_share(at: np.ndarray) -> float:
     """The share of distinct words within consecutive windows of ``SPAN`` words, over all words of the text."""
     return sum(len(np.unique(at[i : i + SPAN])) for i in range(0, len(at), SPAN)) / len(at)
@@ -57,22 +102,29 @@ class WordShapes:
             k = len(self.index)
             if k >= len(self.shapes):
                 self.shapes, self.counts = np.concatenate([self.shapes, np.zeros_like(self.shapes)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
-            letters = sum(map(str.isalpha, w))
+            letters = sum(map(is_letter, w))
             self.shapes[k] = zlib.crc32(shape(w).encode("utf-8", "replace"))
-            self.counts[k] = (letters > 1 and w.isupper(), bool(SIGNS.search(w)) and letters > 0, letters == 0 and not any(map(str.isdigit, w)), letters, len(w), w[-1] in ".!?…")
+            self.counts[k] = (letters > 1 and w.isupper(), bool(SIGNS.search(w)) and letters > 0, letters == 0 and not any(map(str.isdigit, w)), letters, len(w), w[-1] in ".!?…。！？")
             self.index[w] = k
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def look(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The labellers' votes, and the hashed features (places, one a word) of a text."""
-        words = text.split()
+        words, cut, long = words_of(text)
         n = len(words)
         if not n:
             return np.zeros(len(LABELLERS), np.int8), np.zeros(0, np.int64)
         at = self.rows(words)
         again = np.concatenate([[False], at[1:] == at[:-1]])
+        if cut.any():  # a word that is written again and again comes back some pieces later
+            for lag in range(2, LAGS + 1):
+                again[lag:] |= cut[lag:] & (at[lag:] == at[:-lag])
         caps, signs, delimiters, letters, chars, ends = self.counts[at].sum(0, dtype=np.float64)
         distinct = distinct_share(at)
+        size = sum(map(len, text.split()))
+        runs = long / max(1, size)
+        spoken = runs <= 0.3  # of mere runs the pieces are no words to be judged
+        ended = not cut.any() or len("".join(TRIPLES.findall(text))) <= 0.5 * size  # scripts that end no sentence by a sign
         lines = [x for x in text.split("\n") if x.strip()]
         twice = 1 - len(set(lines)) / max(1, len(lines))
 
@@ -81,14 +133,14 @@ class WordShapes:
 
         repeats = again.mean()
         votes = (
-            vote(repeats, repeats > 0.3, repeats < 0.1, n >= 8),
-            vote(distinct, distinct < 0.2, distinct > 0.4, n >= 8),
-            vote(caps, caps > 0.5 * n, caps < 0.2 * n, n >= 4),
-            vote(signs, signs > 0.3 * n, signs < 0.08 * n, n >= 4),
-            vote(delimiters, delimiters > 0.25 * n, delimiters < 0.1 * n, n >= 4),
-            vote(letters, letters < 0.6 * chars, letters > 0.8 * chars, chars >= 12),
-            vote(ends, ends < 0.01 * n, ends > 0.03 * n, n >= 40),
-            vote(chars, not 1.5 * n <= chars <= 20 * n, 2.5 * n <= chars <= 12 * n, n >= 4),
+            vote(repeats, repeats > 0.3, repeats < 0.1, n >= 8 and spoken),
+            vote(distinct, distinct < 0.2, distinct > 0.4, n >= 8 and spoken),
+            vote(caps, caps > 0.5 * n, caps < 0.2 * n, n >= 4 and spoken),
+            vote(signs, signs > 0.3 * n, signs < 0.08 * n, n >= 4 and spoken),
+            vote(delimiters, delimiters > 0.25 * n, delimiters < 0.1 * n, n >= 4 and spoken),
+            vote(letters, letters < 0.6 * chars, letters > 0.8 * chars, chars >= 12 and spoken),
+            vote(ends, ends < 0.01 * n, ends > 0.03 * n, n >= 40 and ended),
+            vote(chars, runs > 0.3 or not 1.5 * n <= chars <= 20 * n, 2.5 * n <= chars <= 12 * n, n >= 4 or runs > 0.3),
             vote(twice, twice > 0.5, twice < 0.2, len(lines) >= 4),
         )
         s = self.shapes[at]
@@ -149,8 +201,8 @@ class QualityModel:
 
 
 def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = 300, rate: float = 0.4, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Logistic regression on mean hashed features and soft targets, by Adam on all rows."""
-    x = np.stack([np.bincount(r, minlength=DIMENSIONS) / max(1, len(r)) for r in rows]).astype(np.float32)
+    """Logistic regression on shares of hashed features, a row a text, and soft targets, by Adam on all rows."""
+    x = np.stack(rows)
     w, b = np.zeros(DIMENSIONS + 1, np.float32), float(np.log(target.mean() / (1 - target.mean())))
     w[-1] = b
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -179,7 +231,7 @@ def fit_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sam
             for x in texts:
                 v, places = words.look(x)
                 if len(places):
-                    rows.append(places)
+                    rows.append((np.bincount(places, minlength=DIMENSIONS) / len(places)).astype(np.float32))
                     target.append(float(labels.posterior(v[None])[0]))
         weights, bias = fit_linear(rows, np.clip(np.array(target), 0.001, 0.999)) if rows else (np.zeros(DIMENSIONS, np.float32), 1.0)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((weights, bias))], pa.binary())], names=["model"])
