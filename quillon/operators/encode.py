@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.vec import dot
 from quillon.operators.ranking import add_ranks
+from quillon.operators.training import hashed
 
 
 class Encoder(Protocol):
@@ -92,6 +93,63 @@ def cross_score(pairs: DataFrame, score: Callable[[list[str], list[str]], np.nda
     return add_ranks(rows.repartition("qid").sortWithinPartitions("qid").mapInPandas(work, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "score double"])))
 
 
+def packed_pairs(pairs: DataFrame, budget: int, parts: int = 64, score: Callable[[list[str], list[list[str]]], list[np.ndarray]] | None = None, text: str = "text") -> DataFrame:
+    """Pairs (qid, query, ``text``, ...) with part and batch, and with score if a model is given: whole queries share a batch of at most ``budget`` pairs.
+
+    Queries are dealt to parts by a hash of their text and taken in its order. A query joins the batch under way unless that holds pairs and
+    would exceed the budget; one with more pairs than the budget is a batch of its own. A query's pairs stay together however they arrive.
+    The model takes a batch's queries and, for each, its texts, in the order of the texts, and gives an array of scores for each query. A
+    null query counts as empty, as does a null text. An empty table gives an empty one.
+    """
+    names = [c for c in pairs.columns if c not in ("part", "batch", "score", "rank")]
+    part = F.pmod(hashed(F.coalesce(F.col("query"), F.lit(""))), F.lit(parts)).cast("int").alias("part")
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    rows = pairs.select(*names, part).repartition("part").sortWithinPartitions("part", F.coalesce("query", F.lit("")), text, "qid")
+
+    def work(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def finished(groups: list[tuple[str, pd.DataFrame]], part: int, batch: int) -> pd.DataFrame:
+            out = pd.concat([g for _, g in groups]).assign(batch=batch)
+            if score:
+                found = score([q for q, _ in groups], [g[text].fillna("").tolist() for _, g in groups])
+                out = out.assign(score=np.concatenate([np.asarray(x, float) for x in found]))
+            return out
+
+        at, batch, held, size = None, 0, [], 0  # the part, its batch under way, that batch's whole queries, and their pairs
+        key, open_ = None, []  # the query that is still arriving
+
+        def closed() -> Iterator[pd.DataFrame]:
+            nonlocal batch, held, size
+            own = pd.concat(open_)
+            if held and size + len(own) > budget:
+                yield finished(held, at, batch)
+                batch, held, size = batch + 1, [], 0
+            held.append((key, own))
+            size += len(own)
+
+        for pdf in tables:
+            for (p, q), group in pdf.assign(_q=pdf["query"].fillna("")).groupby(["part", "_q"], sort=False):
+                if (p, q) != (at, key):
+                    if open_:
+                        yield from closed()
+                    if p != at:
+                        if held:
+                            yield finished(held, at, batch)
+                        at, batch, held, size = p, 0, [], 0
+                    key, open_ = q, []
+                open_.append(group.drop(columns="_q"))
+        if open_:
+            yield from closed()
+            yield finished(held, at, batch)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "part int", "batch int", *(["score double"] if score else [])])
+    return rows.mapInPandas(work, schema)
+
+
+def cross_score_packed(pairs: DataFrame, score: Callable[[list[str], list[list[str]]], list[np.ndarray]], budget: int = 64, parts: int = 64, text: str = "text") -> DataFrame:
+    """Pairs scored by a model that takes whole queries, packed by a budget of pairs, and ranked."""
+    return add_ranks(packed_pairs(pairs, budget, parts, score, text).drop("part", "batch"))
+
+
 def tokens(text: Column | str) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text."""
     return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))), "[^a-z0-9]+", " "), " "), lambda t: t != "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as texts
 from quillon.functions import vec
-from quillon.operators import diversity, encode, evaluation, graph, interaction, inverted, pq, prf, sparse, training
+from quillon.operators import book_training, diversity, encode, evaluation, graph, interaction, inverted, pq, prf, sparse, training
 from quillon.operators.descent import approximate_graph
 from quillon.operators.blocks import block_top_k
 from quillon.operators.ranking import cut, memoised, top_k
@@ -713,3 +713,83 @@ def text_options(s, d):
 @query("SELECT doc_id, sha256(array_to_string([doc_id, n_chars], ',')) AS sha FROM documents")
 def numbers_hash(s, d):
     return table(s, d, "documents").select("doc_id", texts.numbers_sha256(F.array("doc_id", "n_chars")).alias("sha"))
+
+
+BATCH = 32
+
+
+@query(QREL + PAIR + f""", p AS (SELECT qid, doc_id_a, doc_id_b FROM a JOIN b USING (qid)), o AS (SELECT *, unnest(range(3)) AS epoch FROM p),
+    n AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5('42|' || epoch || '|' || qid || '|' || doc_id_a || '|' || doc_id_b), qid, doc_id_a, doc_id_b) - 1 AS i FROM o)
+    SELECT qid, doc_id_a, doc_id_b, epoch, i // {BATCH} AS batch, i % {BATCH} AS position FROM n""")
+def training_batches(s, d):
+    """Three epochs of numbered batches of all pairs."""
+    return out(book_training.numbered(pairs(s, d).drop("query"), BATCH, 3), "qid", "doc_id_a", "doc_id_b", "epoch", "batch", "position")
+
+
+CUT = lambda v: f"{v}[m * (len({v}) // {PARTS}) + 1 : (m + 1) * (len({v}) // {PARTS})]"
+SLOPE = QREL + PAIR + f""", {BOOK}, {SUB}, {IP}, p AS (SELECT qid, doc_id_a, doc_id_b FROM a JOIN b USING (qid)), qs AS (SELECT qid, m, {CUT('qv')} AS y FROM q, (SELECT unnest(range({PARTS})) AS m)),
+    ad AS (SELECT qid, docno, sum(list_inner_product(y, cv)) AS s FROM qs JOIN co USING (m) JOIN bk USING (m, code) GROUP BY ALL),
+    w AS (SELECT p.*, 1 / (1 + exp(x.s - z.s)) AS w FROM p JOIN ad x ON x.qid = p.qid AND x.docno = doc_id_a JOIN ad z ON z.qid = p.qid AND z.docno = doc_id_b),
+    mv AS (SELECT qid, doc_id_a AS docno, -w AS w FROM w UNION ALL SELECT qid, doc_id_b, w FROM w),
+    su AS (SELECT m, code, dim, sum(w * x) / (SELECT count(*) FROM w) AS g FROM (SELECT m, code, w, unnest(range(len(y))) AS dim, unnest(y) AS x FROM mv JOIN qs USING (qid) JOIN co USING (docno, m)) GROUP BY ALL),
+    cells AS (SELECT m, code, unnest(range(len(cv))) AS dim, unnest(cv) AS old FROM bk), g AS (SELECT m, code, dim, old, coalesce(g, 0) AS g FROM cells LEFT JOIN su USING (m, code, dim))"""
+RATE = 0.05
+
+
+def sloped(s, d):
+    """The codebook, and the pairwise loss's gradient by it over all pairs."""
+    codes, book = quantised(s, d, "ip")
+    both = book_training.with_pair_codes(pairs(s, d).join(queries_of(s, d), "qid"), codes)
+    return book, book_training.gradient(both, book)[1]
+
+
+@query(SLOPE + " SELECT m, code, dim, round(g, 6) AS value FROM g")
+def pq_gradient(s, d):
+    return out(book_training.book_table(s, sloped(s, d)[1]), "m", "code", "dim", "value")
+
+
+@query(SLOPE + f" SELECT m, code, dim, round(old - {RATE} * g / (abs(g) + 1e-8), 5) AS value FROM g")
+def pq_adam_step(s, d):
+    """The codebook after one step."""
+    book, slope = sloped(s, d)
+    new = book_training.adam(book_training.State.begun(book), slope, RATE).book
+    return out(book_training.book_table(s, new).withColumn("value", F.round("value", 5)), "m", "code", "dim", "value")
+
+
+@query()
+def pq_book_training(s, d):
+    """Losses of a few epochs of codebook training; a third of the queries validate."""
+    codes, book = quantised(s, d, "ip")
+    both = pairs(s, d).join(queries_of(s, d), "qid")
+    held = F.pmod(training.hashed("qid"), F.lit(3)) == 0
+    state = book_training.train_book(both.where(~held), both.where(held), book, lambda _: codes, 4, 256, 0.01, path=f"{shared_dir(s)}/training-{uuid.uuid4().hex}")
+    return out(s.createDataFrame(list(state.history), "epoch long, train double, valid double"), "epoch", "train", "valid")
+
+
+BUDGET, PACK_PARTS = 100, 2
+
+
+@query(f"""WITH RECURSIVE {C}, {Q}, x AS (SELECT qid, 'text of ' || qid AS query, docid FROM q JOIN c ON ql = label),
+    n AS (SELECT query, count(*) AS n, ('0x' || left(md5(query), 8))::BIGINT % {PACK_PARTS} AS part FROM x GROUP BY query), o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY query) AS i FROM n),
+    t AS (SELECT part, query, i, 0 AS batch, n AS held FROM o WHERE i = 1
+      UNION ALL SELECT o.part, o.query, o.i, CASE WHEN t.held + o.n > {BUDGET} THEN t.batch + 1 ELSE t.batch END, CASE WHEN t.held + o.n > {BUDGET} THEN o.n ELSE t.held + o.n END FROM t JOIN o ON o.part = t.part AND o.i = t.i + 1)
+    SELECT qid, docid, part, batch FROM x JOIN t USING (query)""")
+def pair_packing(s, d):
+    """The batch of each pair of a query and a document of its label, whole queries up to a budget."""
+    rows = same_label(s, d).select("qid", F.concat(F.lit("text of "), "qid").alias("query"), "docid", F.col("docno").alias("text"))
+    return out(encode.packed_pairs(rows, BUDGET, PACK_PARTS), "qid", "docid", "part", "batch")
+
+
+LISTED = lambda run: f"SELECT x.qid, coalesce(avg(list_inner_product(ca.v, cb.v) / (sqrt(list_inner_product(ca.v, ca.v)) * sqrt(list_inner_product(cb.v, cb.v)))), 0) AS ils FROM ({run}) x JOIN ({run}) y ON x.qid = y.qid AND x.rank < y.rank AND y.rank < 10 JOIN c ca ON ca.docno = x.docno JOIN c cb ON cb.docno = y.docno GROUP BY x.qid"
+
+
+@query(BOTH + f", i AS (SELECT 'exact' AS run, * FROM ({LISTED(RUN_A)}) UNION ALL SELECT 'shuffled', * FROM ({LISTED(RUN_B)})) SELECT run, round(avg(ndcg), 6) AS ndcg, round(avg(coalesce(ils, 0)), 6) AS ils FROM m LEFT JOIN i USING (run, qid) GROUP BY run")
+def experiment_ils(s, d):
+    """Diversity beside effectiveness, for two saved runs."""
+    from pyspark.sql.window import Window as W
+
+    docs, root = corpus(s, d), f"{shared_dir(s)}/runs-{uuid.uuid4().hex}"
+    run = evaluation.saved_run(root, f"exact {K * 3}", [docs], lambda: retrieved(s, d, 30))
+    other = run.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.md5(F.col("docno").cast("binary")), "docid")) - 1)
+    made = evaluation.experiment({"exact": run, "shuffled": other}, qrels(s, d), more=[evaluation.ils_measure(docs) @ 10])
+    return out(evaluation.means(made).withColumnRenamed("ils@10", "ils"), "run", "ndcg", "ils")
