@@ -35,7 +35,7 @@ PIECE, STEP = 12, 6
 PAIRED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 TRIPLED = "\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff"
 WIDE_SIGNS = "\u3000-\u303f\uff01-\uff0f\uff1a-\uff20"
-UNUSUAL = re.compile(rf"\S{{{LONG_WORD + 1},}}|[{PAIRED}{TRIPLED}]")
+UNSPACED = re.compile(f"[{PAIRED}{TRIPLED}]")
 SEGMENT = re.compile(rf"([{PAIRED}]+)|([{TRIPLED}]+)|[{WIDE_SIGNS}]|[^{PAIRED}{TRIPLED}{WIDE_SIGNS}]+")
 TRIPLES = re.compile(f"[{TRIPLED}]+")
 #: How far back a piece of a run is looked for.
@@ -61,12 +61,13 @@ def words_of(text: str) -> tuple[list[str], np.ndarray, int]:
     Words lie between white space. A run that holds a script without spaces, or is longer than a word, is cut where the script changes; a
     stretch of such a script becomes overlapping pieces of two or three characters, any other long stretch pieces of ``PIECE``.
     """
-    words = text.split()
-    if not UNUSUAL.search(text):
-        return words, np.zeros(len(words), bool), 0
+    return cut_words(text.split())
+
+
+def cut_words(words: list[str]) -> tuple[list[str], np.ndarray, int]:
     out, cut, long = [], [], 0
     for word in words:
-        if not UNUSUAL.search(word):
+        if len(word) <= LONG_WORD and (word.isascii() or not UNSPACED.search(word)):
             out.append(word)
             cut.append(False)
             continue
@@ -87,13 +88,13 @@ def distinct_share(at: np.ndarray) -> float:
 
 
 class WordShapes:
-    """Per distinct word its shape's hash and some counts."""
+    """Per distinct word its shape's hash, some counts, and whether it is to be cut."""
 
     most = 200_000
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
-        self.shapes, self.counts = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, 6), np.float32)
+        self.shapes, self.counts, self.unusual = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, 6), np.float32), np.zeros(1 << 12, bool)
 
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > self.most:
@@ -101,30 +102,33 @@ class WordShapes:
         for w in set(words).difference(self.index):
             k = len(self.index)
             if k >= len(self.shapes):
-                self.shapes, self.counts = np.concatenate([self.shapes, np.zeros_like(self.shapes)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
+                self.shapes, self.counts, self.unusual = (np.concatenate([x, np.zeros_like(x)]) for x in (self.shapes, self.counts, self.unusual))
             letters = sum(map(is_letter, w))
             self.shapes[k] = zlib.crc32(shape(w).encode("utf-8", "replace"))
             self.counts[k] = (letters > 1 and w.isupper(), bool(SIGNS.search(w)) and letters > 0, letters == 0 and not any(map(str.isdigit, w)), letters, len(w), w[-1] in ".!?…。！？")
+            self.unusual[k] = len(w) > LONG_WORD or (not w.isascii() and bool(UNSPACED.search(w)))
             self.index[w] = k
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def look(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The labellers' votes, and the hashed features (places, one a word) of a text."""
-        words, cut, long = words_of(text)
+        words = text.split()
         n = len(words)
         if not n:
             return np.zeros(len(LABELLERS), np.int8), np.zeros(0, np.int64)
-        at = self.rows(words)
+        at, cut, long, size = self.rows(words), None, 0, sum(map(len, words))
+        if self.unusual[at].any():
+            words, cut, long = cut_words(words)
+            n, at = len(words), self.rows(words)
         again = np.concatenate([[False], at[1:] == at[:-1]])
-        if cut.any():  # a word that is written again and again comes back some pieces later
+        if cut is not None and cut.any():  # a word that is written again and again comes back some pieces later
             for lag in range(2, LAGS + 1):
                 again[lag:] |= cut[lag:] & (at[lag:] == at[:-lag])
         caps, signs, delimiters, letters, chars, ends = self.counts[at].sum(0, dtype=np.float64)
         distinct = distinct_share(at)
-        size = sum(map(len, text.split()))
         runs = long / max(1, size)
         spoken = runs <= 0.3  # of mere runs the pieces are no words to be judged
-        ended = not cut.any() or len("".join(TRIPLES.findall(text))) <= 0.5 * size  # scripts that end no sentence by a sign
+        ended = cut is None or len("".join(TRIPLES.findall(text))) <= 0.5 * size  # scripts that end no sentence by a sign
         lines = [x for x in text.split("\n") if x.strip()]
         twice = 1 - len(set(lines)) / max(1, len(lines))
 
