@@ -93,6 +93,16 @@ def cross_score(pairs: DataFrame, score: Callable[[list[str], list[str]], np.nda
     return add_ranks(rows.repartition("qid").sortWithinPartitions("qid").mapInPandas(work, ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "score double"])))
 
 
+def attach_text(hits: DataFrame, docs: DataFrame, key: str = "docno", text: str = "text", missing: str = "null") -> DataFrame:
+    """Hits with the text of their documents (``key``, ``text``), in place of one they have. A hit of an unknown document keeps a null text, or is dropped or raises, as ``missing`` says."""
+    if missing not in ("null", "drop", "raise"):
+        raise ValueError("missing is null, drop or raise")
+    known = docs.select(key, text)
+    if missing == "raise" and (lost := hits.join(known, key, "left_anti").head(1)):
+        raise KeyError(lost[0][key])
+    return hits.drop(text).join(known, key, "left" if missing == "null" else "inner")
+
+
 def packed_pairs(pairs: DataFrame, budget: int, parts: int = 64, score: Callable[[list[str], list[list[str]]], list[np.ndarray]] | None = None, text: str = "text") -> DataFrame:
     """Pairs (qid, query, ``text``, ...) with part and batch, and with score if a model is given: whole queries share a batch of at most ``budget`` pairs.
 

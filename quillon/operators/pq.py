@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.vec import doubles, times_matrix
-from quillon.operators.blocks import block_top_k, folded, packed
+from quillon.operators.blocks import TASK_BLOCKS, block_top_k, folded, met, packed, pairs_met, steps
 from quillon.operators.ranking import top_k
 from quillon.operators.training import sampled
+from quillon.sources.shared import kept
 
 
 #: Documents of a block of an inverted list.
@@ -146,37 +146,38 @@ def looked_up(codes: np.ndarray, luts: np.ndarray) -> np.ndarray:
     return out
 
 
-def code_search(queries: DataFrame, codes: DataFrame, book: np.ndarray, k: int = 1000, rotation: np.ndarray | None = None, prune: bool = False, inflation: float = 1.0, query_rows: int = 256, doc_rows: int = 8192) -> DataFrame:
+def code_search(queries: DataFrame, codes: DataFrame, book: np.ndarray, k: int = 1000, rotation: np.ndarray | None = None, prune: bool = False, inflation: float = 1.0, query_rows: int = 256, doc_rows: int = 8192, n_docs: int | None = None) -> DataFrame:
     """(qid, docid, docno, score, rank from 1) of the k best documents by table lookup.
 
-    Queries' tables and codes are packed into blocks that meet by an equi-join; a task holds one of either. With ``prune`` each block of
+    Queries' tables and codes are packed into blocks; a block of codes stays in its task while blocks of tables stream past. With ``prune`` each block of
     codes is searched through its inverted lists, best centroids first, until no unseen document can reach the kth score; ``inflation``
     below 1 prunes more and may lose documents, 1 gives the same answer as without.
     """
     qtype = queries.schema["qid"].dataType.simpleString()
-    tables = lookup_tables(queries, book, rotation).select("qid", F.flatten("lut").alias("lut"))
-    qb, db = max(1, -(-queries.count() // query_rows)), max(1, -(-codes.count() // doc_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = packed(tables, "qid", "lut", qb).select(F.col("block").alias("q"), F.col("blob").alias("qs"), every(db).alias("d"))
-    right = packed(codes, "docid", "codes", db).select(F.col("block").alias("d"), F.col("blob").alias("ds"), every(qb).alias("q"))
+    tables = kept(lookup_tables(queries, book, rotation).select("qid", F.flatten("lut").alias("lut")), "tables")
+    if n_docs is None:
+        codes = kept(codes.select("docid", "docno", "codes"), "codes")
+        n_docs = codes.count()
+    qb, db = max(1, -(-tables.count() // query_rows)), max(1, -(-n_docs // doc_rows))
+    copies = -(-qb // TASK_BLOCKS)
+    resident = packed(codes, "docid", "codes", db).select(F.col("block").alias("at"), steps(copies).alias("copy"), "blob")
+    streamed = packed(tables, "qid", "lut", qb).select(steps(db).alias("at"), F.pmod("block", F.lit(copies)).cast("long").alias("copy"), "block", "blob")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for qs, ds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (qids, tables), (docids, c) = pickle.loads(qs), pickle.loads(ds)
-                luts, c, ids = tables.reshape(len(qids), len(book), -1), c.astype(np.int64), np.array(docids, np.int64)
-                if prune:
-                    hits = [pruned_best(c, lut, k, inflation) for lut in luts]
-                    q, d = np.repeat(np.arange(len(luts)), [len(h) for h in hits]), np.concatenate(hits)
-                    s = np.concatenate([looked_up(c[h], lut[None])[0] for h, lut in zip(hits, luts, strict=True)])
-                else:
-                    scores = looked_up(c, luts)
-                    last = np.partition(scores, max(0, len(c) - k), 1)[:, max(0, len(c) - k)]
-                    q, d = np.nonzero(scores >= last[:, None])
-                    s = scores[q, d]
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], pa.int64() if qtype == "bigint" else pa.string()), pa.array(ids[d]), pa.array(s, pa.float64())], names=["qid", "docid", "score"])
-
-    found = left.join(right.hint("shuffle_merge"), ["q", "d"]).select("qs", "ds").mapInArrow(work, f"qid {qtype}, docid long, score double")
+        for _, _, (docids, c), (qids, tables) in pairs_met(batches):
+            luts, c, ids = tables.reshape(len(qids), len(book), -1), c.astype(np.int64), np.array(docids, np.int64)
+            if prune:
+                hits = [pruned_best(c, lut, k, inflation) for lut in luts]
+                q, d = np.repeat(np.arange(len(luts)), [len(h) for h in hits]), np.concatenate(hits)
+                s = np.concatenate([looked_up(c[h], lut[None])[0] for h, lut in zip(hits, luts, strict=True)])
+            else:
+                scores = looked_up(c, luts)
+                last = np.partition(scores, max(0, len(c) - k), 1)[:, max(0, len(c) - k)]
+                q, d = np.nonzero(scores >= last[:, None])
+                s = scores[q, d]
+            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q], pa.int64() if qtype == "bigint" else pa.string()), pa.array(ids[d]), pa.array(s, pa.float64())], names=["qid", "docid", "score"])
+
+    found = met(resident, streamed, db * copies).mapInArrow(work, f"qid {qtype}, docid long, score double")
     return top_k(found, k, first=1).join(codes.select("docid", "docno"), "docid")
 
 

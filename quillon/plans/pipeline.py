@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.operators import prf
+from quillon.operators import encode, prf
+from quillon.operators.encode import Encoder
 from quillon.operators.ranking import cut
 from quillon.sources.store import VectorStore
 
@@ -115,6 +116,68 @@ def by_shape(store: VectorStore, df: DataFrame) -> Stage:
     raise ValueError(f"neither queries nor hits: {df.columns}")
 
 
+@dataclass(frozen=True)
+class EncodeQueries(Stage):
+    model: Encoder
+    batch_size: int = 32
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return encode.encode_queries(df, self.model, self.batch_size)
+
+
+@dataclass(frozen=True)
+class EncodeDocs(Stage):
+    model: Encoder
+    text: str = "text"
+    batch_size: int = 32
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return encode.encode_docs(df, self.model, self.text, self.batch_size)
+
+
+@dataclass(frozen=True)
+class ScoreTexts(Stage):
+    model: Encoder
+    text: str = "text"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return encode.score_texts(df, self.model, self.text)
+
+
+@dataclass(frozen=True)
+class AttachText(Stage):
+    docs: DataFrame
+    text: str = "text"
+    missing: str = "null"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return encode.attach_text(df, self.docs, "docno", self.text, self.missing)
+
+
+@dataclass(frozen=True)
+class ByShape(Stage):
+    """An encoder as one stage: what it does depends on the columns that it meets, decided when the plan is made."""
+
+    model: Encoder
+    text: str = "text"
+    batch_size: int = 32
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.stage_for(df)(df)
+
+    def stage_for(self, df: DataFrame) -> Stage:
+        """Score pairs that have a query and a document, each as text or vector; else encode queries; else encode documents."""
+        has = set(df.columns)
+        asked, told = {"query", "query_vec"} & has, {self.text, "doc_vec"} & has
+        if "qid" in has and asked and told:
+            return ScoreTexts(self.model, self.text)
+        if "query" in has and not told:
+            return EncodeQueries(self.model, self.batch_size)
+        if self.text in has and not asked:
+            return EncodeDocs(self.model, self.text, self.batch_size)
+        raise ValueError(f"neither queries nor documents nor pairs: {df.columns}")
+
+
 def compiled(stage: Stage) -> Stage:
     """Rewritten until nothing changes: feedback takes only its first k; cuts move ahead of vector loading, meet, and lower a retriever's k.
 

@@ -22,6 +22,7 @@ from quillon.sources.codes import CodeStore
 from quillon.sources.graphs import graph_of
 from quillon.sources.shared import kept, shared_dir
 from quillon.sources.store import VectorStore
+from quillon.sources.vectorfile import read_vector_file, write_vector_file
 
 K, EVERY, SCALE = 10, 50, 6
 PARTS, CODES, LISTS, GRAPH_K = 8, 16, 8, 8
@@ -793,3 +794,21 @@ def experiment_ils(s, d):
     other = run.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.md5(F.col("docno").cast("binary")), "docid")) - 1)
     made = evaluation.experiment({"exact": run, "shuffled": other}, qrels(s, d), more=[evaluation.ils_measure(docs) @ 10])
     return out(evaluation.means(made).withColumnRenamed("ils@10", "ils"), "run", "ndcg", "ils")
+
+
+@query(f"WITH {C} SELECT docid, docno, unnest(range(len(v))) AS dim, round(unnest(v), 6) AS value FROM c WHERE docid >= 100 AND docid < 140")
+def vector_file_slice(s, d):
+    """All vectors written as vector files; the slice is read by its byte ranges."""
+    path = f"{shared_dir(s)}/vector-file-{uuid.uuid4().hex}"
+    write_vector_file(corpus(s, d), path)
+    rows = read_vector_file(s, path, 100, 140)
+    return out(rows.select("docid", "docno", F.posexplode("doc_vec").alias("dim", "value")), "docid", "docno", "dim", "value")
+
+
+@query(f"""WITH {C}, {BOOK}, {SUB}, {L2}, e AS (SELECT docid, sum(pow(list_distance(x, cv), 2)) AS e FROM co JOIN sv USING (docid, m) JOIN bk USING (m, code) GROUP BY docid) SELECT count(*) AS n, round(avg(e), 5) AS error FROM e""")
+def pq_rebuild_error(s, d):
+    """A store rebuilt from codes, and its mean squared error."""
+    codes, book = quantised(s, d, "l2")
+    root = f"{shared_dir(s)}/rebuilt-{uuid.uuid4().hex}"
+    rebuilt, error = CodeStore.write(codes, book, f"{root}/codes").rebuild(store(s, d), f"{root}/vectors")
+    return out(s.createDataFrame([(len(rebuilt), error)], "n long, error double").withColumn("error", F.round("error", 5)), "n", "error")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.vec import squared_distance
 from quillon.operators import pq
 from quillon.sources.store import VectorStore
 
@@ -31,7 +32,9 @@ class CodeStore:
         """
         if mode not in ("create", "overwrite"):
             raise ValueError("mode is create or overwrite")
-        if book.ndim != 3 or (rotation is not None and rotation.shape != (book.shape[0] * book.shape[2],) * 2):
+        if book.ndim != 3 or book.shape[1] < 1 or book.shape[1] & (book.shape[1] - 1):
+            raise ValueError(f"codebook {book.shape}: it needs three dimensions, and a power of two of codes a part")
+        if (rotation is not None and rotation.shape != (book.shape[0] * book.shape[2],) * 2):
             raise ValueError(f"codebook {book.shape} with rotation {None if rotation is None else rotation.shape}")
         fits = (F.size("codes") == book.shape[0]) & F.forall("codes", lambda c: (c >= 0) & (c < book.shape[1]))
         n, bad = codes.agg(F.count("*"), F.coalesce(F.sum((~F.coalesce(fits, F.lit(False))).cast("long")), F.lit(0))).first()
@@ -70,6 +73,13 @@ class CodeStore:
         """The vectors that the codes stand for, rotated back."""
         return VectorStore(pq.decoded(self.codes, self.book, self.rotation), count=self.count)
 
+    def rebuild(self, original: VectorStore, path: str, mode: str = "create") -> tuple[VectorStore, float]:
+        """Writes the vectors that the codes stand for as a store of the same docids order, and tells their mean squared error against the originals, a document at a time."""
+        made = self.vectors().vectors
+        both = made.select("docid", F.col("doc_vec").alias("a")).join(original.vectors.select("docid", F.col("doc_vec").alias("b")), "docid")
+        error = both.agg(F.avg(squared_distance("a", "b"))).first()[0]
+        return VectorStore.write(made, path, "docid", original.sim, mode), float(error or 0.0)
+
     def retrieve(self, queries: DataFrame, k: int = 1000, prune: bool = False, inflation: float = 1.0) -> DataFrame:
         """(qid, docid, docno, score, rank from 1) of the k best documents by table lookup."""
-        return pq.code_search(queries, self.codes, self.book, k, self.rotation, prune, inflation)
+        return pq.code_search(queries, self.codes, self.book, k, self.rotation, prune, inflation, n_docs=self.count)

@@ -93,7 +93,7 @@ class VectorStore:
 
     @classmethod
     def write(cls, docs: DataFrame, path: str, order: str = "docno", sim: str = "dot", mode: str = "create") -> VectorStore:
-        """Write (docno, doc_vec). ``create`` fails where the path exists, ``overwrite`` replaces it. All vectors need one size."""
+        """Write (docno, doc_vec), numbered by ``order``. ``create`` fails where the path exists, ``overwrite`` replaces it. All vectors need one size."""
         if mode not in ("create", "overwrite"):
             raise ValueError("mode is create or overwrite")
         similarity(sim)
@@ -101,7 +101,7 @@ class VectorStore:
         if n and (low != high or low <= 0):
             raise ValueError(f"vectors of different sizes: {low} to {high}")
         save = "errorifexists" if mode == "create" else "overwrite"
-        numbered = with_docids(docs.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec")), order)
+        numbered = with_docids(docs.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec"), F.col(order).alias("place")), "place")
         numbered.select("docid", "docno", "doc_vec", F.lit("written").alias("batch")).write.mode(save).partitionBy("batch").parquet(f"{path}/vectors")
         dropped(numbered)
         removed(docs.sparkSession, f"{path}/superseded")
