@@ -44,10 +44,13 @@ RUN = re.compile(r"(.)\1+")
 SIGNS = re.compile(r"[^\w\s.,;:?'\"()»«…-]$|!!$")
 
 
-def shape(word: str) -> str:
-    """Letters by case, digits as 9, signs as they are; runs are one."""
-    out = "".join("X" if c.isupper() else "x" if is_letter(c) else "9" if c.isdigit() else c for c in word)
-    return RUN.sub(r"\1", out)
+class Classes(dict):
+    """For each character met so far what stands for it: letters by case, digits as 9, others as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "X" if c.isupper() else "x" if is_letter(c) else "9" if c.isdigit() else c
+        return out
 
 
 def is_letter(c: str) -> bool:
@@ -55,6 +58,14 @@ def is_letter(c: str) -> bool:
     return c.isalpha() or (c > "\x7f" and unicodedata.category(c)[0] == "M")
 
 
+CLASSES = Classes()
+
+
+def shape(word: str) -> str:
+    """Letters by case, digits as 9, signs as they are; runs are one."""
+    return RUN.sub(r"\1", word.translate(CLASSES))
+
+
 def words_of(text: str) -> tuple[list[str], np.ndarray, int]:
     """(words, which of them are pieces of a run, characters in long runs).
 
@@ -99,15 +110,23 @@ class WordShapes:
     def rows(self, words: list[str]) -> np.ndarray:
         if len(self.index) > self.most:
             self.index.clear()
-        for w in set(words).difference(self.index):
+        new = list(set(words).difference(self.index))
+        if new:
             k = len(self.index)
-            if k >= len(self.shapes):
+            while k + len(new) > len(self.shapes):
                 self.shapes, self.counts, self.unusual = (np.concatenate([x, np.zeros_like(x)]) for x in (self.shapes, self.counts, self.unusual))
-            letters = sum(map(is_letter, w))
-            self.shapes[k] = zlib.crc32(shape(w).encode("utf-8", "replace"))
-            self.counts[k] = (letters > 1 and w.isupper(), bool(SIGNS.search(w)) and letters > 0, letters == 0 and not any(map(str.isdigit, w)), letters, len(w), w[-1] in ".!?…。！？")
-            self.unusual[k] = len(w) > LONG_WORD or (not w.isascii() and bool(UNSPACED.search(w)))
-            self.index[w] = k
+            self.index.update(zip(new, range(k, k + len(new)), strict=True))
+            classes = [w.translate(CLASSES) for w in new]
+            letters = [c.count("x") + c.count("X") for c in classes]
+            own = slice(k, k + len(new))
+            self.shapes[own] = [zlib.crc32(RUN.sub(r"\1", c).encode("utf-8", "replace")) for c in classes]
+            self.counts[own, 0] = [n > 1 and w.isupper() for w, n in zip(new, letters, strict=True)]
+            self.counts[own, 1] = [n > 0 and bool(SIGNS.search(w)) for w, n in zip(new, letters, strict=True)]
+            self.counts[own, 2] = [n == 0 and "9" not in c for c, n in zip(classes, letters, strict=True)]
+            self.counts[own, 3] = letters
+            self.counts[own, 4] = sizes = list(map(len, new))
+            self.counts[own, 5] = [w[-1] in ".!?…。！？" for w in new]
+            self.unusual[own] = [n > LONG_WORD or (not w.isascii() and bool(UNSPACED.search(w))) for w, n in zip(new, sizes, strict=True)]
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def look(self, text: str) -> tuple[np.ndarray, np.ndarray]:
