@@ -90,6 +90,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that its base patterns alone decide."""
+    return op9_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base_spans_sql() -> str:
+    """Matches and what lies between them give each match's place."""
+    assign = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = (("assign", assign, f"length(regexp_extract(m, '{assign}', 2)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"), ("hex", "[0-9a-f]+", "length(m) >= 24"))
+    cut = lambda k, pattern: f"SELECT doc_id, uid, '{k}' AS kind, unnest(range(len(ms))) AS i, unnest(ms) AS m, bs FROM (SELECT doc_id, uid, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS bs FROM d)"
+    rows = " UNION ALL ".join(f"SELECT doc_id, uid, kind, {n} AS nth, s, s + length(m) AS e FROM (SELECT *, list_sum([length(x) FOR x IN bs[:i + 1]]) + coalesce(sum(length(m)) OVER (PARTITION BY uid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM ({cut(k, p)})) WHERE {good}" for n, (k, p, good) in enumerate(kinds))
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS uid, coalesce(text, '') AS t FROM documents), r AS ({rows})
+    SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+      sha256(coalesce(string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, nth), '')) AS base_sha256 FROM d LEFT JOIN r USING (uid) GROUP BY d.doc_id, d.uid"""
+
+
 #: Fixed values: (host, path, verdict).
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -201,5 +217,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
+    "secret_base_spans": secret_base_spans,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op4_ngram_jaccard_join": NGRAM_JOIN_SQL, "op10_url_filter": url_filter_sql(), "op11_merkle_manifest": MERKLE_SQL, "op12_warc": WARC_SQL, "op13_fill_in_middle": FILL_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": EXACT_TOP_K_SQL, "op4_ngram_jaccard_join": NGRAM_JOIN_SQL, "op10_url_filter": url_filter_sql(), "op11_merkle_manifest": MERKLE_SQL, "op12_warc": WARC_SQL, "op13_fill_in_middle": FILL_SQL, "secret_base_spans": base_spans_sql()}
