@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillon.functions.vec import dot
 from quillon.operators.ranking import add_ranks
@@ -171,8 +172,8 @@ def hashed_components(rows: DataFrame, key: str, text: str, size: int = 64) -> D
     h = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long")
     sums = each.select(key, (h % size).cast("int").alias("dim"), (F.when(F.floor(h / size) % 2 == 0, 1).otherwise(-1) * F.col("count")).alias("x"))
     sums = sums.groupBy(key, "dim").agg(F.sum("x").alias("x")).where(F.col("x") != 0)
-    length = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x")).cast("double")).alias("n"))
-    return sums.join(length, key).select(key, "dim", (F.col("x") / F.col("n")).alias("value"))
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)).cast("double"))  # at most ``size`` rows
+    return sums.select(key, "dim", (F.col("x") / length).alias("value"))
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str, name: str, size: int = 64) -> DataFrame:
@@ -185,8 +186,8 @@ def hashed_vectors(rows: DataFrame, key: str, text: str, name: str, size: int =
 def token_weights(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, weight): the share of each token among the text's tokens."""
     each = rows.select(key, F.explode(tokens(text)).alias("token")).groupBy(key, "token").count()
-    total = each.groupBy(key).agg(F.sum("count").alias("n"))
-    return each.join(total, key).select(key, "token", (F.col("count") / F.col("n")).alias("weight"))
+    total = F.sum("count").over(W.partitionBy(key))
+    return each.select(key, "token", (F.col("count") / total).alias("weight"))
 
 
 def passages(docs: DataFrame, key: str = "docno", text: str = "text", length: int = 50, stride: int = 25) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillon.sources.shared import unused
+
 
 #: Places among which the documents of a label are dealt.
 PLACES = 64
@@ -16,7 +18,7 @@ def same_value(queries: DataFrame, docs: DataFrame, on: str, places: int = PLACE
 
     A value's documents are dealt among places, to each of which its queries go, so that no value is one task.
     """
-    place = "_place"
+    place = unused("place", queries, docs)
     dealt = docs.withColumn(place, F.pmod(F.xxhash64("docno"), F.lit(places)).cast("int"))
     asked = queries.withColumn(place, F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
     return asked.join(dealt, [on, place]).drop(place)

@@ -740,7 +740,7 @@ RATE = 0.05
 def sloped(s, d):
     """The codebook, and the pairwise loss's gradient by it over all pairs."""
     codes, book = quantised(s, d, "ip")
-    both = book_training.with_pair_codes(pairs(s, d).join(queries_of(s, d), "qid"), codes)
+    both = training.with_codes(pairs(s, d).join(queries_of(s, d), "qid"), codes)
     return book, book_training.gradient(both, book)[1]
 
 

@@ -20,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that no table has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: Folders of kept tables that are still there, by the DataFrame that reads them.
 _PLACES: dict[int, tuple[DataFrame, str]] = {}
 

@@ -16,19 +16,11 @@ from quillon.functions.vec import similarity
 from quillon.operators.blocks import block_top_k
 from quillon.operators.ranking import add_ranks, top_k
 from quillon.sources.properties import read_properties, versions, write_properties
-from quillon.sources.shared import backed, dropped, kept, removed
+from quillon.sources.shared import backed, dropped, kept, removed, unused
 
 FORMAT = "quillon-vectors"
 
 
-def unused(name: str, *tables: DataFrame) -> str:
-    """A column name that no table has, whatever the case."""
-    taken = {c.lower() for t in tables for c in t.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def with_docids(docs: DataFrame, order: str) -> DataFrame:
     """Dense ids by ``order``, and by a hash of the row where that ties: a range sort, one count a partition, offsets; no single task sees all rows.
 

@@ -64,16 +64,16 @@ def test_every_pair_has_one_place_an_epoch(spark):
 
 def test_gradient_sums_are_exact_and_independent_of_partitions(spark):
     pairs, coded, book, rows, own = problem(spark)
-    loss, slope, n = bt.gradient(bt.with_pair_codes(pairs, coded), book, 16)
+    loss, slope, n = bt.gradient(bt.with_codes(pairs, coded), book, 16)
     want = plain_gradient(rows, own, book)
     assert n == len(rows) and loss == pytest.approx(want[0], abs=1e-12) and np.allclose(slope, want[1], atol=1e-12)
-    again = bt.gradient(bt.with_pair_codes(pairs.repartition(13), coded), book, 16)
+    again = bt.gradient(bt.with_codes(pairs.repartition(13), coded), book, 16)
     assert again[0] == loss and (again[1] == slope).all()
     step = 1e-6  # against differences
     moved = book.copy()
     moved[1, 2, 0] += step
     assert (plain_gradient(rows, own, moved)[0] - want[0]) / step == pytest.approx(slope[1, 2, 0], abs=1e-4)
-    assert bt.gradient(bt.with_pair_codes(pairs.where(F.lit(False)), coded), book)[::2] == (0.0, 0)
+    assert bt.gradient(bt.with_codes(pairs.where(F.lit(False)), coded), book)[::2] == (0.0, 0)
 
 
 def same(a, b):
@@ -86,7 +86,7 @@ def test_training_lowers_the_loss_and_goes_on_where_it_was_killed(spark, tmp_pat
     how = {"codes": lambda _: coded, "batch_size": 60, "rate": 0.05}
     straight = bt.train_book(train, valid, book, epochs=4, path=str(tmp_path / "straight"), **how)
     assert straight.epoch == 4 and straight.step == 8 and straight.history[-1][2] < straight.history[0][2] < 5
-    assert straight.best_loss < bt.gradient(bt.with_pair_codes(valid, coded), book)[0]
+    assert straight.best_loss < bt.gradient(bt.with_codes(valid, coded), book)[0]
     bt.train_book(train, valid, book, epochs=2, path=str(tmp_path / "killed"), **how)
     shutil.copytree(tmp_path / "killed" / "state", tmp_path / "broken" / "state")
     (tmp_path / "killed" / "state" / "v99").mkdir()  # a commit that broke off
