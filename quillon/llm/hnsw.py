@@ -211,14 +211,14 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10
 
     Every row is indexed: equal vectors are one node that carries its k + 1 smallest ids, which are all that a result can hold of it. Rows
     without an id, and vectors that are null, empty, zero, of another than the commonest size, or hold null or non-finite components take
-    no part. Ties go to the smaller id; fewer candidates give fewer rows; of rows that repeat a query's id none is its candidate. Other
-    columns are not read. An empty table gives an empty one. Distances are recomputed in double precision on the original vectors.
+    no part. Ties go to the smaller id; fewer candidates give fewer rows; of rows that repeat a query's id none is its candidate, and the
+    least vector asks. Other columns are not read. An empty table gives an empty one. Distances are recomputed in double precision on the original vectors.
     """
     rows = usable(vectors, vec_id, embedding, zero=False)
     nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     least = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     nodes = written(least.select(F.col("ids")[0].alias("vec_id"), "v", "ids"), "nodes")
-    asked = rows.where(F.col("vec_id") % queries_every == 0).dropDuplicates(["vec_id"])
+    asked = rows.where(F.col("vec_id") % queries_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, q = nodes.count(), asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_queries))
     index = written(packed(nodes, F.pmod(F.xxhash64("vec_id"), F.lit(shards)), lambda ids, m: pickle.dumps(build(ids, m, width)), shards), "graphs")
@@ -231,13 +231,14 @@ def nearest_neighbours(vectors: DataFrame, queries_every: int = 100, k: int = 10
         exact = np.sqrt(((questions[:, None, :] - graph.matrix[np.maximum(found, 0)]) ** 2).sum(2))
         exact[found < 0] = np.inf
         ids = graph.ids[np.maximum(found, 0)]
-        order = np.lexsort((ids, exact), axis=1)[:, : k + 1]
+        order = np.lexsort((ids, exact), axis=1)
         exact, ids = np.take_along_axis(exact, order, 1), np.take_along_axis(ids, order, 1)
-        r, c = np.nonzero(np.isfinite(exact))
+        mine = ids == own[:, None]  # nodes of the query's own id take no other's place
+        r, c = np.nonzero(np.isfinite(exact) & (mine | (np.cumsum(~mine, 1) <= k + 1)))
         return own[r], ids[r, c], exact[r, c]
 
     near = searched(index, ask, find, shards, blocks, "double")
-    top = near.withColumn("at", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("at") <= k + 1)
+    top = near.withColumn("at", F.row_number().over(W.partitionBy("query_id", F.col("vec_id") == F.col("query_id")).orderBy("score", "vec_id"))).where((F.col("at") <= k + 1) | (F.col("vec_id") == F.col("query_id")))
     every = top.join(nodes.select("vec_id", "ids"), "vec_id").select("query_id", "score", F.explode("ids").alias("vec_id")).where(F.col("query_id") != F.col("vec_id"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

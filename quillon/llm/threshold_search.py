@@ -77,7 +77,7 @@ def exact_top_k(vectors: DataFrame, queries_every: int = 20, k: int = 20, scale:
 
     Components become floor(scale * x). Rows without an id, and vectors that are null, empty, of another than the commonest size, or hold
     null or non-finite components take no part; zero vectors score 0. Ties go to the smaller id; fewer candidates give fewer rows; equal
-    vectors are rows like any other; of rows that repeat a query's id none is its candidate. Other columns are not read. An empty table
+    vectors are rows like any other; of rows that repeat a query's id none is its candidate, and the least vector asks. Other columns are not read. An empty table
     gives an empty one. No score, and no part of one, exceeds the largest squared integer length, so scores
     are exact in double precision below 2**53; a table that reaches this is refused with ValueError.
     """
@@ -88,7 +88,7 @@ def exact_top_k(vectors: DataFrame, queries_every: int = 20, k: int = 20, scale:
         raise ValueError("a vector's squared integer length reaches 2**53, beyond which scores in double precision are not exact")
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-q // block_queries))
     index = written(packed(rows, F.pmod(F.xxhash64("vec_id"), F.lit(shards)), sorted_lists, shards), "lists")
-    asked = packed(rows.where(is_query).dropDuplicates(["vec_id"]), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), lambda ids, m: pickle.dumps((ids, m)), blocks)
+    asked = packed(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)), lambda ids, m: pickle.dumps((ids, m)), blocks)
 
     def find(shard: tuple[np.ndarray, np.ndarray, np.ndarray], qs: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         (ids, matrix, lists), (own, questions) = shard, pickle.loads(qs)

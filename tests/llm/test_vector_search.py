@@ -112,3 +112,16 @@ def test_a_shard_is_kept_for_its_blocks(spark, monkeypatch):
     got = exact_top_k(spark.createDataFrame(rows, SCHEMA), queries_every=10, k=5, shard_rows=40, block_queries=2).collect()
     want = top([(i, np.floor(64 * np.array(v, np.float32).astype(float)), n) for i, v, n in rows], 10, 5, lambda x, q: x @ q, True)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted((a, b, c, int(d)) for a, b, c, d in want)
+
+
+def test_of_repeated_query_ids_the_least_vector_asks(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(1, 90)]
+    twice = [(0, [float(x) for x in rng.standard_normal(6)]) for _ in range(5)]
+    least = min(v for _, v in twice)
+    kinds = "vec_id long, embedding array<double>"
+    for search in (exact_top_k, nearest_neighbours):
+        want = sorted(map(tuple, search(spark.createDataFrame([*rows, (0, least)], kinds)).where("query_id = 0").collect()))
+        for order in (twice, twice[::-1]):
+            got = search(spark.createDataFrame([*order, *rows], kinds).repartition(6)).where("query_id = 0")
+            assert sorted(map(tuple, got.collect())) == want
