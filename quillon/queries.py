@@ -290,7 +290,26 @@ def ladr_adaptive_one_hop(s, d):
     return out(graph.ladr_adaptive(retrieved(s, d, 5), store(s, d).vectors, near_graph(s, d), GRAPH_K, 5, 20, max_hops=1), *HITS)
 
 
-@query()
+def gar_sql(batch: int, most: int) -> str:
+    """A turn is a row: even ones take the next hits, odd ones what is left over and then the neighbours of the best scored documents, list by list until the batch is full."""
+    return f"""WITH RECURSIVE {C}, {Q}, {R(20)}, {GRAPH(GRAPH_K)}, sc AS (SELECT qid, docid, docno, {DOT} AS score FROM q, c), nb AS (SELECT docid, list(neighbour ORDER BY slot) AS ns FROM g GROUP BY docid),
+    t AS (SELECT qid, 0 AS turn, 0 AS idle, []::BIGINT[] AS done, []::BIGINT[] AS opened, []::BIGINT[] AS rest FROM q
+      UNION ALL
+      SELECT qid, turn + 1, CASE WHEN len(took) = 0 THEN idle + 1 ELSE 0 END, list_distinct(list_concat(done, took)), list_concat(opened, heads[:n]), CASE WHEN turn % 2 = 0 THEN rest ELSE coalesce(line[room + 1:], []::BIGINT[]) END
+      FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN coalesce(hits[:room], []::BIGINT[]) ELSE coalesce(line[:room], []::BIGINT[]) END AS took
+        FROM (SELECT *, list_concat(rest, coalesce(flatten(lists[:n]), []::BIGINT[])) AS line
+          FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 0 ELSE len([i FOR i IN range(1, len(lists) + 1) IF len(rest) + coalesce(list_sum([len(y) FOR y IN lists[:i - 1]]), 0) < room]) END AS n
+            FROM (SELECT t.*, least({batch}, {most} - len(done)) AS room,
+              (SELECT list(r.docid ORDER BY r.rank) FROM r WHERE r.qid = t.qid AND NOT list_contains(t.done, r.docid)) AS hits,
+              coalesce((SELECT list(sc.docid ORDER BY sc.score DESC, sc.docid) FROM sc WHERE sc.qid = t.qid AND list_contains(t.done, sc.docid) AND NOT list_contains(t.opened, sc.docid)), []::BIGINT[]) AS heads,
+              coalesce((SELECT list(list_filter(nb.ns, lambda x: NOT list_contains(t.done, x)) ORDER BY sc.score DESC, sc.docid) FROM sc JOIN nb ON nb.docid = sc.docid WHERE sc.qid = t.qid AND list_contains(t.done, sc.docid) AND NOT list_contains(t.opened, sc.docid)), []::BIGINT[][]) AS lists
+              FROM t WHERE t.idle < 2 AND len(t.done) < {most}))))),
+    f AS (SELECT qid, done FROM t QUALIFY row_number() OVER (PARTITION BY qid ORDER BY turn DESC) = 1),
+    z AS (SELECT sc.* FROM (SELECT qid, unnest(done) AS docid FROM f) e JOIN sc USING (qid, docid))
+    SELECT qid, docid, docno, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) - 1 AS rank FROM z QUALIFY rank < {most}"""
+
+
+@query(gar_sql(8, 40))
 def gar(s, d):
     return out(graph.gar(retrieved(s, d, 20), store(s, d).vectors, near_graph(s, d), GRAPH_K, 8, 40), *HITS)
 
