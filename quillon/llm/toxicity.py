@@ -75,7 +75,7 @@ def learned_lexicon(sample: DataFrame) -> dict[str, float]:
 class WordFeatures:
     """Per word the numbers that a text's features are sums of; distinct words are looked at once."""
 
-    most = 200_000
+    most = 100_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.index, self.used = lexicon, {}, 0
