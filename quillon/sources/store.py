@@ -52,7 +52,7 @@ def new_meta(sim: str, count: int = 0, size: int = 0) -> dict:
 def read_meta(spark: SparkSession, path: str) -> dict:
     meta = read_properties(spark, path)
     if meta is None or meta.get("format") != FORMAT:
-        raise ValueError(f"{path} holds {meta and meta['format']}")
+        raise ValueError(f"{path} holds {meta and meta.get('format')}")
     return meta
 
 
