@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, written
+from quillon.llm.common import discard, short_batches, written
 from quillon.llm.ngram_join import without_near_copies
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import fit_quality, score_quality
@@ -17,17 +17,20 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the label table, does not reject."""
+    short_batches(spark)
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, model).where(F.col("predicted") == 0).select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality scorer does not reject."""
+    short_batches(spark)
     return score_quality(docs, fit_quality(docs)).where(F.col("kept") == 1).select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    short_batches(spark)
     return without_near_copies(docs).select(*COLUMNS)
 
 
@@ -38,6 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
+    short_batches(spark)
     return pack_documents(docs)
 
 
