@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -56,6 +57,8 @@ class PieceEncoder:
             own = {p: -math.log(1 - v) for p, v in own.items()}
         self.score = own if scores is None else dict(scores)
         self.unknown = min(self.score.values()) - UNKNOWN
+        # the ends of pieces too, which score nothing: where no piece ends like a stretch, none ends like a longer one
+        self.ending = {p[i:]: -math.inf for p in self.score for i in range(1, len(p))} | self.score
         self.walk = self.best_paths if rule == "scores" else self.merge_paths
         self.raw = [b"" if i in self.odd else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.pairs: dict[str, dict[str, bool]] = {}
@@ -89,7 +92,8 @@ class PieceEncoder:
 
     def best_paths(self, words: Sequence[str]) -> list[list[int]]:
         """Ids of sorted words by the highest sum of scores: best[i] is that of the first i characters, back[i] where their last piece begins; those of a shared prefix are kept."""
-        best, back, out, before, longest, score, unknown = [0.0], [0], [], "", self.longest, self.score.get, self.unknown
+        best, back, out, before, longest, ending, unknown = [0.0], [0], [], "", max(map(len, self.score)), self.ending.get, self.unknown
+        id_of, nothing = self.id_of.get, -math.inf
         for word in words:
             shared, limit = 0, min(len(word), len(before), len(best) - 1)
             while shared < limit and word[shared] == before[shared]:
@@ -97,20 +101,32 @@ class PieceEncoder:
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 at = end - 1
-                top = best[at] + score(word[at], unknown)
+                s = ending(word[at])
+                if s is None:
+                    best.append(best[at] + unknown)
+                    back.append(at)
+                    continue
+                top = best[at] + (unknown if s == nothing else s)
                 for start in range(at - 1, (end - longest if end > longest else 0) - 1, -1):
-                    s = score(word[start:end])
-                    if s is not None and best[start] + s >= top:
-                        top, at = best[start] + s, start
+                    s = ending(word[start:end])
+                    if s is None:
+                        break
+                    s += best[start]
+                    if s >= top:
+                        top, at = s, start
                 best.append(top)
                 back.append(at)
             ids: list[int] = []
             end = len(word)
             while end:
-                piece = word[back[end] : end]
-                own = self.id_of.get(piece)
-                ids += [own] if own is not None else [self.bytes[b] for b in reversed(piece.encode("utf-8", "replace"))]
-                end = back[end]
+                start = back[end]
+                piece = word[start:end]
+                own = id_of(piece)
+                if own is not None:
+                    ids.append(own)
+                else:
+                    ids += [self.bytes[b] for b in reversed(piece.encode("utf-8", "replace"))]
+                end = start
             out.append(ids[::-1])
             before = word
         return out
@@ -159,9 +175,9 @@ class PieceEncoder:
             self.words.clear()
         new = sorted({w for c in cut for w in c}.difference(self.words))
         for w, ids in zip(new, self.walk(new), strict=True):
-            self.words[w] = np.array(ids, np.int32)
+            self.words[w] = array("i", ids).tobytes()
         get = self.words.__getitem__
-        return [np.concatenate(list(map(get, c))) if c else np.zeros(0, np.int32) for c in cut]
+        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of the ids: control pieces vanish, byte pieces are joined, the first mark is dropped."""
