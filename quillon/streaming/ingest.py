@@ -64,7 +64,7 @@ def append_vectors(docs: DataFrame, path: str, checkpoint: str, sim: str = "dot"
     Any number of streams may append, one after the other: batches are named by stream and number. A batch's docids are reserved in the
     store's properties before its rows are written, and its rows are read once the properties say that it is done. So a batch that runs
     again takes the same docids and replaces its own rows, and nothing else can take them meanwhile. All vectors need the size of the
-    store's. No folder stays behind a batch.
+    store's. No folder stays behind a batch, even one that fails.
     """
     stream = stream_name(checkpoint)
 
@@ -72,12 +72,14 @@ def append_vectors(docs: DataFrame, path: str, checkpoint: str, sim: str = "dot"
         spark = batch.sparkSession
         meta = _opened(spark, path, sim, stream, number)
         rows = with_docids(batch.select("docno", F.col("doc_vec").cast("array<float>").alias("doc_vec")), "docno")
-        n = _counted(rows, meta)
-        if n:
-            first = _reserved(spark, path, meta, stream, number, n)
-            rows.withColumn("docid", F.col("docid") + first).select("docid", "docno", "doc_vec").write.mode("overwrite").parquet(f"{path}/vectors/batch={stream}-{number}")
-            _done(spark, path, meta, stream)
-        dropped(rows)
+        try:
+            n = _counted(rows, meta)
+            if n:
+                first = _reserved(spark, path, meta, stream, number, n)
+                rows.withColumn("docid", F.col("docid") + first).select("docid", "docno", "doc_vec").write.mode("overwrite").parquet(f"{path}/vectors/batch={stream}-{number}")
+                _done(spark, path, meta, stream)
+        finally:
+            dropped(rows)
 
     return _started(docs, checkpoint, add)
 
