@@ -165,3 +165,21 @@ def test_diversity_is_a_measure_and_runs_are_saved(spark, tmp_path):
     spark.createDataFrame([("d9", [1.0])], "docno string, doc_vec array<double>").write.mode("append").parquet(place)
     assert fingerprint("x", spark.read.parquet(place)) != before
     assert fingerprint("x", run) == fingerprint("x", run) != fingerprint("x", run.limit(2))
+
+
+def test_runs_of_batches_step_as_single_batches_do_in_few_jobs(spark, monkeypatch):
+    pairs, coded, book, *_ = problem(spark, 160)
+    coded = coded.where(F.col("docno") != "d7")  # some pairs have no codes
+    jobs = []
+    for name in ("gradient", "stepped"):
+        monkeypatch.setattr(bt, name, lambda *a, f=getattr(bt, name), name=name, **b: jobs.append(name) or f(*a, **b))
+    how = {"epochs": 1, "batch_size": 20, "rate": 0.05}
+    states, counts = [], []
+    for rows in (19, 60, 1 << 17):  # no runs, runs of 3 batches of 8, one run
+        monkeypatch.setattr(bt, "RUN_ROWS", rows)
+        jobs.clear()
+        states.append(bt.train_book(pairs, pairs, book, lambda _: coded, **how))
+        counts.append((jobs.count("gradient"), jobs.count("stepped")))
+    assert counts == [(8 + 2, 0), (2, 3), (2, 1)]
+    assert all(s.step == 8 and np.allclose(s.book, states[0].book, atol=1e-10) and np.allclose(s.history, states[0].history, atol=1e-10) for s in states)
+    assert same(states[1], states[2])
