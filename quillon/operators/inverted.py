@@ -9,16 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.vec import similarity
-from quillon.operators.blocks import folded
+from quillon.functions.vec import doubles
+from quillon.operators.blocks import best_in_block, folded, met_by_value, rows_of
 from quillon.operators.ranking import top_k
 from quillon.operators.training import sampled
 
 
-#: Places among which the documents of a list are dealt.
-PLACES = 8
-
-
 def list_count(n: int) -> int:
     """The root of n, rounded up to a power of two; 4 at least."""
     return max(4, 1 << max(0, int(np.ceil(np.log2(max(1, n) ** 0.5)))))
@@ -60,11 +56,15 @@ def lloyd(vectors: DataFrame, centroids: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def inverted_search(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, k: int = 1000, n_probe: int = 1, sim: str = "dot", lists: DataFrame | None = None) -> DataFrame:
-    """(qid, docid, score, rank) of the k best documents of the lists that each query probes; fewer where these hold fewer."""
+    """(qid, docid, score, rank) of the k best documents of the lists that each query probes; fewer where these hold fewer. A list's documents and its queries meet in blocks, so no list is one task."""
     lists = assigned(vectors, "doc_vec", centroids, ["docid", "doc_vec"]) if lists is None else lists
     probed = assigned(queries, "query_vec", centroids, ["qid", "query_vec"], probes=n_probe)
-    # a list's documents are dealt among places, to each of which its queries go: no list is one task
-    dealt = lists.withColumn("place", F.pmod(F.xxhash64("docid"), F.lit(PLACES)).cast("int"))
-    asked = probed.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
-    found = asked.join(dealt, ["list", "place"]).withColumn("score", similarity(sim)("query_vec", "doc_vec")).where(F.col("score").isNotNull())
-    return top_k(found.select("qid", "docid", "score"), k)
+
+    def work(asking: pa.Table, held: pa.Table) -> Iterator[pa.RecordBatch]:
+        qids, docids = asking.column("qid").combine_chunks(), held.column("docid").combine_chunks()
+        for q, d, s in best_in_block(rows_of(asking.column("v"), np.float64), rows_of(held.column("v"), np.float64), k, sim):
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), docids.take(pa.array(d)), pa.array(s, pa.float64())], names=["qid", "docid", "score"])
+
+    kinds = [f"{name} {df.schema[name].dataType.simpleString()}" for df, name in ((queries, "qid"), (lists, "docid"))]
+    asked, dealt = (df.select(key, doubles(vec).alias("v"), "list") for df, key, vec in ((probed, "qid", "query_vec"), (lists, "docid", "doc_vec")))
+    return top_k(met_by_value(asked, dealt, "list", ["qid", "v"], ["docid", "v"], work, f"{', '.join(kinds)}, score double"), k)

@@ -81,3 +81,52 @@ def test_late_interaction_and_the_recall_of_its_candidates(spark, tmp_path):
     found = sum((r["qid"], r["docid"]) in {(q, i) for q in want for _, i in want[q]} for r in some) / 150
     assert found >= 0.95 and len(store.centroids) == 16
     assert late_interaction(queries, rows.where(F.lit(False)), centroids, 5).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_late_interaction_multiplies_blocks_and_no_rows(spark, monkeypatch):
+    from quillon.operators import blocks
+
+    for name, size in (("VALUE_ROWS", 40), ("QUERY_ROWS", 5), ("TASK_BLOCKS", 2), ("CELLS", 300)):
+        monkeypatch.setattr(blocks, name, size)
+    rng = np.random.default_rng(1)
+    docs = {i: rng.standard_normal((3, 4)).round(1) for i in range(150)}  # rounded, so scores tie
+    asked = {f"q{i}": rng.standard_normal((2, 4)).round(1) for i in range(23)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in docs.items()], "docid long, doc_embs array<array<double>>")
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in asked.items()], "qid string, query_embs array<array<double>>")
+    centroids = token_centroids(rows, 6)
+    nearest = lambda v, n: set(np.argsort(-(v @ centroids.T), 1, kind="stable")[:, :n].ravel().tolist())
+    for probes in (1, 6):
+        found = late_interaction(queries, rows, centroids, 7, probes)
+        assert "array_max" not in plan_of(found)  # a product for each pair of rows, before
+        got = sorted((r["qid"], r["rank"], r["docid"], round(r["score"], 8)) for r in found.collect())
+        want = []
+        for q, v in asked.items():
+            near = [(round(late(v, d), 9), i) for i, d in docs.items() if nearest(v, probes) & nearest(d, 1)]
+            want += [(q, n, i, round(s, 8)) for n, (s, i) in enumerate(sorted(near, key=lambda x: (-x[0], x[1]))[:7])]
+        assert got == sorted(want)
+
+
+def test_inverted_search_multiplies_blocks_and_no_rows(spark, monkeypatch):
+    from quillon.operators import blocks, inverted
+
+    for name, size in (("VALUE_ROWS", 40), ("QUERY_ROWS", 5), ("TASK_BLOCKS", 2)):
+        monkeypatch.setattr(blocks, name, size)
+    rng = np.random.default_rng(2)
+    x, q = rng.standard_normal((150, 4)).round(1), rng.standard_normal((23, 4)).round(1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "docid long, doc_vec array<double>")
+    queries = spark.createDataFrame([(f"q{i:02d}", v.tolist()) for i, v in enumerate(q)], "qid string, query_vec array<double>")
+    centroids = inverted.sampled_centroids(rows, 3)
+    own, asked = np.argmax(x @ centroids.T, 1), np.argsort(-(q @ centroids.T), 1, kind="stable")
+    for probes in (2, 3):
+        found = inverted.inverted_search(queries, rows, centroids, 6, probes)
+        assert "zip_with" not in plan_of(found)
+        got = [(r["qid"], r["docid"]) for r in found.orderBy("qid", "rank").collect()]
+        want = []
+        for i in range(len(q)):
+            near = [(-round(float(sum(a * b for a, b in zip(q[i], x[j], strict=True))), 12), j) for j in range(150) if own[j] in asked[i, :probes]]
+            want += [(f"q{i:02d}", j) for _, j in sorted(near)[:6]]
+        assert sorted(got) == sorted(want)
