@@ -183,3 +183,42 @@ def test_runs_of_batches_step_as_single_batches_do_in_few_jobs(spark, monkeypatc
     assert counts == [(8 + 2, 0), (2, 3), (2, 1)]
     assert all(s.step == 8 and np.allclose(s.book, states[0].book, atol=1e-10) and np.allclose(s.history, states[0].history, atol=1e-10) for s in states)
     assert same(states[1], states[2])
+
+
+def test_products_of_positives_and_negatives_need_no_row_for_a_pair(spark, monkeypatch):
+    from quillon.operators import blocks, training
+    from quillon.sources.store import VectorStore
+
+    for name, size in (("VALUE_ROWS", 9), ("QUERY_ROWS", 3), ("TASK_BLOCKS", 2), ("CELLS", 40)):
+        monkeypatch.setattr(blocks, name, size)
+    monkeypatch.setattr(bt, "CELLS", 40)
+    monkeypatch.setattr(training, "CELLS", 40)
+    rng = np.random.default_rng(5)
+    parts, codes, width = 3, 4, 2
+    book = rng.standard_normal((parts, codes, width))
+    label = lambda i: None if i % 13 == 0 else i % 3
+    docs = spark.createDataFrame([(i, f"d{i:02d}", rng.standard_normal(6).round(1).tolist(), label(i), [int(c) for c in rng.integers(0, codes, parts)]) for i in range(80)], "docid long, docno string, doc_vec array<double>, label int, codes array<int>")
+    queries = spark.createDataFrame([(f"q{i}", rng.standard_normal(6).tolist(), label(i)) for i in range(22)], "qid string, query_vec array<double>, label int")
+    store = VectorStore(docs.select("docid", "docno", "doc_vec"))
+    hits = store.retrieve(queries.select("qid", "query_vec"), 7)
+    qrels = training.judged(training.same_value(queries, docs.select("docid", "docno", "label"), "label"), hits)
+    pairs = training.pairs_of(qrels, queries.select("qid", F.col("qid").alias("query")), 4)
+    negatives = training.beside(hits, queries, docs, "label", 4)
+    assert sorted((r["qid"], r["docno"]) for r in negatives.collect()) == sorted({(r["qid"], r["doc_id_b"]) for r in pairs.collect()} | {(r["qid"], r["docno"]) for r in negatives.collect() if r["qid"] in ("q0", "q13")})
+
+    own = negatives.join(docs.select("docno", "codes"), "docno").groupBy("qid").agg(F.collect_list("codes").alias("negatives"))
+    loss, slope, n = bt.product_gradient(queries.join(own, "qid"), docs, "label", book)
+    want = bt.gradient(bt.with_codes(pairs.join(queries.select("qid", "query_vec"), "qid"), docs), book, 4)
+    assert n == want[2] == pairs.count() and loss == pytest.approx(want[0], abs=1e-12) and np.allclose(slope, want[1], atol=1e-12)
+
+    scores = store.score(qrels.join(queries.select("qid", "query_vec"), "qid")).select("qid", "docno", "score")
+    both = pairs.join(scores.select("qid", F.col("docno").alias("doc_id_a"), F.col("score").alias("pos")), ["qid", "doc_id_a"]).join(scores.select("qid", F.col("docno").alias("doc_id_b"), F.col("score").alias("neg")), ["qid", "doc_id_b"])
+    got = training.value_losses(queries.join(negatives.groupBy("qid").agg(F.collect_list("score").alias("negatives")), "qid"), docs, "label").first()
+    assert got["pairwise"] == pytest.approx(training.pairwise_loss(both).first()["loss"], abs=1e-12)
+    assert got["hard"] == pytest.approx(training.hard_negative_loss(both.withColumn("qid", F.concat("qid", "doc_id_a"))).first()["loss"], abs=1e-12)
+    assert training.value_losses(queries.withColumn("negatives", F.expr("array(0D)")).where("label > 7"), docs, "label").first()["hard"] is None
+
+    same = training.same_value(queries, docs.select("docid", "docno", "label"), "label")
+    for k in (None, 4):
+        rows = lambda df: sorted((r["qid"], r["rank"], r["docid"], r["docno"], r["score"]) for r in df.collect())
+        assert rows(store.score_same(queries, docs, "label", k)) == rows(store.score(same, k))
