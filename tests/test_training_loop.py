@@ -222,3 +222,9 @@ def test_products_of_positives_and_negatives_need_no_row_for_a_pair(spark, monke
     for k in (None, 4):
         rows = lambda df: sorted((r["qid"], r["rank"], r["docid"], r["docno"], r["score"]) for r in df.collect())
         assert rows(store.score_same(queries, docs, "label", k)) == rows(store.score(same, k))
+
+    hits = hits.withColumn("rank", F.col("rank") + 2)
+    rows = lambda df: sorted(tuple(r[c] for c in ("qid", "doc_id_a", "doc_id_b", "docno", "neg_rank", "pos_rank", "given_rank")) for r in df.collect())
+    for k in (2, 6, 9):
+        found = training.value_hard_negatives(queries, docs, "label", negatives, hits, k)
+        assert rows(found) == rows(training.hard_negatives(pairs, hits, k))
