@@ -206,6 +206,9 @@ def test_products_of_positives_and_negatives_need_no_row_for_a_pair(spark, monke
     negatives = training.beside(hits, queries, docs, "label", 4)
     assert sorted((r["qid"], r["docno"]) for r in negatives.collect()) == sorted({(r["qid"], r["doc_id_b"]) for r in pairs.collect()} | {(r["qid"], r["docno"]) for r in negatives.collect() if r["qid"] in ("q0", "q13")})
 
+    made = training.value_pairs(queries, docs, "label", negatives)
+    triples = lambda df: sorted(tuple(r) for r in df.select("qid", "doc_id_a", "doc_id_b").collect())
+    assert triples(made) == triples(pairs)
     own = negatives.join(docs.select("docno", "codes"), "docno").groupBy("qid").agg(F.collect_list("codes").alias("negatives"))
     loss, slope, n = bt.product_gradient(queries.join(own, "qid"), docs, "label", book)
     want = bt.gradient(bt.with_codes(pairs.join(queries.select("qid", "query_vec"), "qid"), docs), book, 4)
